@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import ann, bpe, exact_dedup, packing
+from tidelight.llm import ann, bpe, exact_dedup, near_dedup, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op8_bpe(spark, sf_dir):
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.label_near(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
