@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import ann, bpe, exact_dedup, near_dedup, packing
+from tidelight.llm import ann, bpe, exact_dedup, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op8_bpe(spark, sf_dir):
     return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup.mark_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_dedup.label_near(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
