@@ -114,45 +114,68 @@ def search(
     )
 
 
+#: Vectors and queries that are compared at once, and pairs that are reranked at once; they bound a worker's memory.
+ROWS, COLUMNS, PAIRS = 2048, 256, 32768
+
+
 def _scan(held, k: int, eps: float):
     def run(batches):
         q_ids, q, turn = held.value
         dim = q.shape[1]
-        unit_q = q / np.sqrt((q * q).sum(1))[:, None]
-        turned = unit_q @ turn
-        best: dict[int, list[tuple[float, int]]] = {}
+        turned = (q / np.sqrt((q * q).sum(1))[:, None]) @ turn
+        best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
+        floor = np.full(len(q_ids), -np.inf)  # no vector under it can still be among the k nearest
         for batch in batches:
-            at, v = matrix(batch.column("v"), dim)
-            if not len(at):
-                continue
-            ids = batch.column("vec_id").to_numpy()[at]
-            order = np.lexsort((ids, *v.T[::-1]))
-            ids, v = ids[order], v[order]
-            # Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query.
-            same = np.r_[False, (v[1:] == v[:-1]).all(1)]
-            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(v))))
-            keep = (np.arange(len(v)) - start) <= k
-            ids, v = ids[keep], v[keep]
-            bits, correction = encode(v / np.sqrt((v * v).sum(1))[:, None], turn)
-            for lo in range(0, len(q_ids), 256):
-                about, bound = estimate(bits, correction, turned[lo : lo + 256], dim, eps)
-                low, high = about - bound[:, None], about + bound[:, None]
-                kth = min(k + 1, len(v))  # the query itself is among the rows
-                floor = np.partition(low, len(v) - kth, axis=0)[len(v) - kth]
-                rows, cols = np.nonzero(high >= floor[None, :])
-                rows, cols = rows[ids[rows] != q_ids[lo + cols]], cols[ids[rows] != q_ids[lo + cols]]
-                score = cosine(v[rows], q[lo + cols])
-                ranked = np.lexsort((ids[rows], -score, cols))
-                cols, rows, score = cols[ranked], rows[ranked], score[ranked]
-                begin = np.r_[0, np.flatnonzero(np.diff(cols)) + 1] if len(cols) else np.array([], int)
-                for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(cols)], strict=False):
-                    at_q = lo + int(cols[s])
-                    top = list(dict.fromkeys(zip((-score[s:e]).tolist(), ids[rows[s:e]].tolist(), strict=True)))[:k]
-                    best[at_q] = sorted(set(best.get(at_q, []) + top))[:k]
-        out = [(int(q_ids[i]), vec, -s) for i, top in best.items() for s, vec in top]
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                at, v = matrix(part.column("v"), dim)
+                if not len(at):
+                    continue
+                ids, v = _distinct(part.column("vec_id").to_numpy()[at], v, k)
+                bits, correction = encode(v / np.sqrt((v * v).sum(1))[:, None], turn)
+                for lo in range(0, len(q_ids), COLUMNS):
+                    own = slice(lo, lo + COLUMNS)
+                    about, bound = estimate(bits, correction, turned[own], dim, eps)
+                    kth = min(k + 1, len(v))  # the query itself may be among the rows
+                    if len(v) > k:
+                        floor[own] = np.maximum(floor[own], np.partition(about - bound[:, None], len(v) - kth, axis=0)[len(v) - kth])
+                    cols, rows = np.nonzero((about + bound[:, None] >= floor[own][None, :]).T)
+                    other = ids[rows] != q_ids[lo + cols]
+                    cols, rows = cols[other], rows[other]
+                    for c in range(0, len(cols), PAIRS):
+                        some, them = lo + cols[c : c + PAIRS], rows[c : c + PAIRS]
+                        _merge(best, floor, some, ids[them], cosine(v[them], q[some]), k)
+        out = [(int(q_ids[i]), vec, -s) for i, top in enumerate(best) for s, vec in top]
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"]
         )
 
     return run
+
+
+def _distinct(ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without those of equal vectors that can't be among the k nearest of any query: all but the k + 1 smallest ids."""
+    order = np.lexsort((ids, *v.T[::-1]))
+    ids, v = ids[order], v[order]
+    same = np.r_[False, (v[1:] == v[:-1]).all(1)]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(v))))
+    keep = np.arange(len(v)) - first <= k
+    return ids[keep], v[keep]
+
+
+def _merge(best: list, floor: np.ndarray, at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> None:
+    """Put scored pairs into the queries' best; ``at`` is ascending."""
+    order = np.lexsort((ids, -score, at))
+    at, ids, score = at[order], ids[order], score[order]
+    begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.array([], int)
+    for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=False):
+        i, top = int(at[s]), []
+        for x in zip((-score[s:e]).tolist(), ids[s:e].tolist(), strict=True):
+            if not top or top[-1] != x:
+                top.append(x)
+                if len(top) == k:
+                    break
+        best[i] = sorted({*best[i], *top})[:k]
+        if len(best[i]) == k:
+            floor[i] = max(floor[i], -best[i][-1][0])
