@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import ann, bpe, exact_dedup, near_dedup, packing, substring_dedup, toxicity
+from tidelight.llm import ann, bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.label_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(50)) == 0, k=5)
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_html": op6_html,
     "op7_ann": op7_ann,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
