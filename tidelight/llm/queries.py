@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import ann, bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, toxicity
+from tidelight.llm import ann, bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, token_counts, toxicity
+from tidelight.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,17 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_exact(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark, sf_dir):
+    """Every document is inserted for two tokenizer versions, a batch each; the first batch is then sent again."""
+    docs, totals = table(spark, sf_dir, "documents"), token_counts.TokenTotals(spark, new_path(spark, "token-totals"))
+    versions = ("byte_bpe_50k", "byte_bpe_multi_50k")
+    batches = {v: token_counts.signed(token_counts.count_tokens(docs, {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN)}), 1) for v in versions}
+    for name, rows in batches.items():
+        totals.commit(name, rows)
+    totals.commit(versions[0], batches[versions[0]])
+    return totals.totals()
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.label_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +60,7 @@ def op10_near_dedup(spark, sf_dir):
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_html": op6_html,
     "op7_ann": op7_ann,
