@@ -48,3 +48,37 @@ def repeats(docs, size=20):
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.add((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def components(ids, sets, percent):
+    """Least id of each id's component under all pairs of similar sets."""
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    index = defaultdict(list)
+    for i in ids:
+        both = defaultdict(int)
+        for s in sets[i]:
+            for j in index[s]:
+                both[j] += 1
+            index[s].append(i)
+        for j, n in both.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def lines(docs, size=8, percent=80):
+    """{(doc_id, line_no, keep_doc_id, keep_line_no, kept)} of docs: list of (doc_id, text)."""
+    places = [((i, k), x) for i, t in sorted(docs) for k, x in enumerate((t or "").split("\n")) if t is not None and x.strip(" ")]
+    first = {}
+    for p, x in places:
+        first.setdefault(x, p)
+    sets = {p: {x[k : k + size] for k in range(max(1, len(x) - size + 1))} for x, p in first.items()}
+    keep = components(sorted(sets), sets, percent)
+    return {(*p, *keep[first[x]], p == keep[first[x]]) for p, x in places}

@@ -22,6 +22,7 @@ are ignored by :func:`label_near` and carried by :func:`drop_near`.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,10 @@ from tidelight.llm.words import U, WordHashes, mix, ngrams
 FEATURES = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
 #: Requests for texts up to so many rows are broadcast (16 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 200_000
+#: Members of a bucket whose remaining pairs may become rows: at most so many for each.
+SMALL_BUCKET = 16
+#: Members of a larger bucket that are compared in one group.
+BLOCK = 2048
 #: Members of a star that share a copy of their centre's text.
 STAR_ROWS = 512
 
@@ -100,7 +105,7 @@ def features(docs: DataFrame, shingle: int = 2, bands: int = 42, band_rows: int
                 counts, digests, keys = [], [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     w = hashes.of(text.lower().split())
-                    s = np.unique(ngrams(w, shingle) if len(w) >= shingle else ngrams(w, len(w)) if len(w) else w)
+                    s = shingle_hashes(w, shingle)
                     counts.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     keys.append(band_keys(signature(s, bands * band_rows), bands, band_rows) if len(s) else None)
@@ -154,45 +159,123 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def label_near(
-    docs: DataFrame, shingle: int = 2, percent: int = 80, bands: int = 42, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document.
+def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node, component`` of the members that are linked; ``members``: ``bucket, band, rep`` (an id of a distinct set) and ``n`` (its size).
 
-    Documents are linked when 100 * intersection >= ``percent`` * union of their
-    shingle sets. With 42 bands of 6 a pair of similarity 0.8 shares a bucket
-    with probability 1 - 3e-6, any of more with more.
+    ``confirmed`` gives those of candidate pairs ``a, b`` that are similar. ``across``
+    gives the similar pairs across components of buckets of more than
+    ``SMALL_BUCKET`` members; without it those pairs become rows too.
     """
-    texts = text_or_empty(docs, id_col, text_col)
-    feats = materialize(features(docs, shingle, bands, band_rows, id_col, text_col), "features")
-    sets = feats.filter("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("set_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-    classes = materialize(classes.select("set_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialize(members.join(centres, "bucket").select("bucket", "rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("a_n")), "buckets")
+    shared = materialize(members.join(centres, "bucket").select("bucket", "band", "rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("a_n")), "buckets")
     star = shared.filter("rep <> a").filter(similar_sizes("n", "a_n", percent)).select("a", F.col("rep").alias("b")).distinct()
     star = materialize(star, "stars")
-    links = materialize(confirm(star, texts, shingle, percent), "confirmed")
+    links = materialize(confirmed(star), "confirmed")
     nodes = connected_components(links)
 
     # Buckets of several components: the pairs across them that no star has held.
-    labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     rest = materialize(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
+    sized = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    few = rest.join(sized.filter(F.col("size") <= SMALL_BUCKET), "bucket", "left_semi") if across else rest
+    x, y = few.alias("x"), few.alias("y")
     cross = (
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
         .filter(similar_sizes("x.n", "y.n", percent))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
     )
-    cross = materialize(cross, "cross")
+    if across:
+        many = materialize(rest.join(sized.filter(F.col("size") > SMALL_BUCKET), "bucket"), "large")
+        if not many.isEmpty():
+            cross = cross.unionByName(across(many))
+    cross = materialize(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = materialize(confirm(cross, texts, shingle, percent), "confirmed")
+        more = materialize(confirmed(cross), "confirmed")
         if not more.isEmpty():
             nodes = connected_components(links.unionByName(more))
+    return nodes
+
+
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text from its words' hashes."""
+    return np.unique(ngrams(words, min(size, len(words)))) if len(words) else words
+
+
+def pairs_across(many: DataFrame, docs: DataFrame, shingle: int, percent: int, bands: int, band_rows: int) -> DataFrame:
+    """Similar pairs ``a, b`` of different components in large buckets (``bucket, band, rep, component, size``).
+
+    A bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is
+    one task's group, so memory is bounded and no pair becomes a row unless it is
+    similar. Members of different components are compared by their signatures,
+    then by their full sets; a pair is looked at only in the first band it shares.
+    """
+    reps = materialize(many.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
+
+    def sets(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingle_hashes(hashes.of(t.lower().split()), shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sketches = [(signature(s, bands * band_rows) & U(0xFFFF)).astype(np.uint16).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "sketch", "grams"])
+
+    held = materialize(docs.join(reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "rep long, sketch binary, grams binary"), "sets")
+    dealt = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def compare(table):
+        rep, component, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
+        band, (lo, hi) = table.column("band")[0].as_py(), (table.column(c)[0].as_py() for c in ("lo", "hi"))
+        grams = [np.frombuffer(x.as_py(), U) for x in table.column("grams")]
+        size = np.array([len(g) for g in grams])
+        sketch = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in table.column("sketch")])
+        names, where, count = np.unique(component, return_inverse=True, return_counts=True)
+        passive = where == count.argmax()  # of the largest component: compared only with the rest
+        order = np.arange(len(rep))
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(~passive).tolist():
+            near = (component != component[i]) & (passive | (order > i))
+            near &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            if lo != hi:
+                near &= block != block[i]
+            j = np.flatnonzero(near)
+            same = sketch[j] == sketch[i]
+            slack = 5 * np.sqrt(0.25 / np.minimum(np.minimum(size[j], size[i]), sketch.shape[1]))
+            likely = same.mean(1) >= percent / 100 - slack
+            j, same = j[likely], same[likely]
+            j = j[same.reshape(len(j), bands, band_rows).all(2)[:, :band].sum(1) == 0]
+            if not len(j):
+                continue
+            flat = np.concatenate([grams[k] for k in j])
+            own = grams[i]
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(size[j])[:-1]])
+            for k in j[100 * both >= percent * (size[j] + size[i] - both)].tolist():
+                found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+        a, b = zip(*found, strict=True) if found else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(held, "rep").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def label_near(
+    docs: DataFrame, shingle: int = 2, percent: int = 80, bands: int = 42, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their
+    shingle sets. With 42 bands of 6 a pair of similarity 0.8 shares a bucket
+    with probability 1 - 3e-6, any of more with more.
+    """
+    texts = text_or_empty(docs, id_col, text_col)
+    feats = materialize(features(docs, shingle, bands, band_rows, id_col, text_col), "features")
+    sets = feats.filter("doc_id is not null and n_shingles > 0")
+    classes = sets.groupBy("set_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
+    classes = materialize(classes.select("set_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
+    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n")
+    nodes = link_members(members, percent, lambda pairs: confirm(pairs, texts, shingle, percent), lambda many: pairs_across(many, texts, shingle, percent, bands, band_rows))
 
     named = classes.select("set_digest", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("set_digest", F.coalesce("component", "rep").alias("component_id"))
     plain = feats.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm import ann, bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, token_counts, toxicity
+from tidelight.llm import ann, bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, token_counts, toxicity
 from tidelight.llm.common import new_path
 
 
@@ -18,6 +18,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.mark_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_exact(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_near_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
