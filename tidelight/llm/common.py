@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now; it does so when the driver's JVM collects their owners."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_or_empty(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``doc_id`` and ``text``; null text is empty."""
     return df.select(

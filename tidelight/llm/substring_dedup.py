@@ -27,15 +27,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize, new_path, text_or_empty
+from tidelight.llm.common import materialize, new_path, release_shuffles, text_or_empty
 from tidelight.llm.words import U, WordHashes, ngrams
 
+#: A worker's memo of word hashes, shared by its tasks.
+HASHES = WordHashes()
 SKETCH = "doc_id long, n_words long, text_digest binary, fps array<long>, starts array<int>"
 REPEATS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -56,11 +59,21 @@ def grams_and_minima(words: np.ndarray, size: int, gram: int) -> tuple[np.ndarra
     return g, _slide(g, size - gram + 1, np.minimum)
 
 
-def picked(g: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Positions of grams that are the least of some window that holds them, ties included."""
+def picked_in_all(words: np.ndarray, begin: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are the least of some window, ties included.
+
+    The texts' words stand one after another, text ``k`` from ``begin[k]``;
+    windows that would cross from one text into the next pick nothing.
+    """
+    if len(words) < size:
+        return np.empty(0, np.int64), np.empty(0, U)
+    g, least = grams_and_minima(words, size, gram)
+    left = np.repeat(begin[1:], np.diff(begin))[: len(least)] - np.arange(len(least))
+    least[left < size] = 0
     width = len(g) - len(least)
-    padded = np.concatenate([np.zeros(width, U), least, np.zeros(width, U)])
-    return np.flatnonzero(_slide(padded, width + 1, np.maximum) == g)
+    top = _slide(np.concatenate([np.zeros(width, U), least, np.zeros(width, U)]), width + 1, np.maximum)
+    at = np.flatnonzero((top == g) & (top > 0))
+    return at, g[at]
 
 
 def windows_hit(g: np.ndarray, least: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -74,31 +87,23 @@ def sketch(docs: DataFrame, size: int, gram: int) -> DataFrame:
     """For each document: words, digest of the text, and its picked fingerprints with their positions. ``docs``: ``doc_id, text``."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                counts, digests, fps, starts = [], [], [], []
-                for text in part.column(1).cast(pa.binary()).to_pylist():
-                    words = text.split()
-                    counts.append(len(words))
-                    digests.append(hashlib.blake2b(text, digest_size=16).digest())
-                    if len(words) < size:
-                        fps.append(np.empty(0, np.int64))
-                        starts.append(np.empty(0, np.int32))
-                        continue
-                    g, least = grams_and_minima(hashes.of(words), size, gram)
-                    at = picked(g, least)
-                    fps.append(g[at].view(np.int64))
-                    starts.append(at.astype(np.int32))
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in fps])].astype(np.int32))
+                texts = part.column(1).cast(pa.binary()).to_pylist()
+                words = [t.split() for t in texts]
+                counts = np.array([len(w) for w in words], np.int64)
+                begin = np.r_[0, np.cumsum(counts)]
+                at, fps = picked_in_all(HASHES.of([w for more in words for w in more]), begin, size, gram)
+                owner = np.searchsorted(begin, at, side="right") - 1
+                offsets = pa.array(np.searchsorted(at, begin).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array(counts, pa.int64()),
-                        pa.array(digests, pa.binary()),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(fps))),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(starts))),
+                        pa.array(counts),
+                        pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array(fps.view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array((at - begin[owner]).astype(np.int32))),
                     ],
                     ["doc_id", "n_words", "text_digest", "fps", "starts"],
                 )
@@ -117,15 +122,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"fingerprints_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "fp")
-            .sortWithinPartitions("fp")
-            .write.bucketBy(self.buckets, "fp")
-            .sortBy("fp")
-            .option("compression", "zstd")
-            .option("path", new_path(self.spark, name))
-            .saveAsTable(name)
-        )
+        writer = rows.write.bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd")
+        writer.option("path", new_path(self.spark, name)).saveAsTable(name)
         return self.spark.table(name)
 
     def add(self, sketches: DataFrame) -> DataFrame:
@@ -146,8 +144,9 @@ class FingerprintIndex:
         while len(self.runs) >= self.fan_in and len({level for level, _ in self.runs[-self.fan_in :]}) == 1:
             level, merged = self.runs[-1]
             for _, old in self.runs[-self.fan_in : -1]:
-                merged = merged.unionByName(old)
-            merged = self._write(merged.groupBy("fp").agg(F.sum("n").alias("n")))
+                both = F.coalesce(merged["n"], F.lit(0)) + F.coalesce(old["n"], F.lit(0))
+                merged = merged.join(old, "fp", "full_outer").select("fp", both.alias("n"))
+            merged = self._write(merged)
             self.runs[-self.fan_in :] = [(level + 1, merged)]
 
 
@@ -185,38 +184,38 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
     for batch in _batches(own, batches):
         found = index.add(batch)
         hit = found if hit is None else hit.unionByName(found)
-    hit = hit.distinct()
+    hit = materialize(hit.distinct(), "hit")
+    release_shuffles(spark)
     places = own.select("doc_id", F.explode(F.arrays_zip("fps", "starts")).alias("p")).select("doc_id", F.col("p.fps").alias("fp"), F.col("p.starts").alias("at"))
     hits = places.join(hit, "fp", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("hits"))
     todo = materialize(
         hits.select("doc_id", F.lit(False).alias("copy"), "hits").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("hits"))),
         "todo",
     )
+    release_shuffles(spark)
+
+    blake = hashlib.blake2b
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out: tuple[list, ...] = ([], [], [], [])
-                for doc_id, text, hits in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    words = text.encode().split()
-                    g, least = grams_and_minima(hashes.of(words), size, gram)
-                    starts = windows_hit(g, least, np.unique(np.array(hits)))
+                digests, owners, places = [], [], []
+                for k, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    words = text.split()
+                    g, least = grams_and_minima(HASHES.of(words), size, gram)
+                    starts = windows_hit(g, least, part.column(2)[k].values.to_numpy())
                     flat = b" ".join(words)
-                    offset = np.r_[0, np.cumsum([len(w) + 1 for w in words])]
-                    seen = set()
-                    for s, lo_, hi in zip(starts.tolist(), offset[starts].tolist(), offset[starts + size].tolist(), strict=True):
-                        d = hashlib.blake2b(flat[lo_ : hi - 1], digest_size=12).digest()
-                        if d not in seen:
-                            seen.add(d)
-                            out[0].append(int.from_bytes(d[:8], "little", signed=True))
-                            out[1].append(int.from_bytes(d[8:], "little", signed=True))
-                            out[2].append(doc_id)
-                            out[3].append(s)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["d1", "d2", "doc_id", "start"]
-                )
+                    offset = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+                    ends = (offset[starts + size] - 1).tolist()
+                    # Of a sequence that the document itself repeats, the first start only.
+                    first = dict(zip([blake(flat[i:j], digest_size=12).digest() for i, j in zip(offset[starts].tolist()[::-1], ends[::-1], strict=True)], starts.tolist()[::-1], strict=True))
+                    digests += first.keys()
+                    places += first.values()
+                    owners.append(len(first))
+                d = np.frombuffer(b"".join(digests), [("d1", "<i8"), ("d2", "<i4")])
+                ids = np.repeat(part.column(0).to_numpy(), owners)
+                yield pa.RecordBatch.from_arrays([pa.array(d["d1"].copy()), pa.array(d["d2"].copy()), pa.array(ids), pa.array(places, pa.int32())], ["d1", "d2", "doc_id", "start"])
 
     may = docs.join(todo.filter("not copy").select("doc_id", "hits"), "doc_id").select("doc_id", "text", "hits")
     windows = may.mapInArrow(run, "d1 long, d2 int, doc_id long, start int")
@@ -224,18 +223,17 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
     return todo, firsts.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list("start").alias("firsts"))
 
 
-def _removed(words: list[bytes], hashes: WordHashes, copy, hits, firsts, size: int, gram: int) -> np.ndarray:
-    """Which words go."""
+def _removed(words: list[bytes], hits: np.ndarray, firsts: np.ndarray | None, size: int, gram: int) -> np.ndarray:
+    """Which words go from a text that is no copy."""
+    g, least = grams_and_minima(HASHES.of(words), size, gram)
+    starts = windows_hit(g, least, hits)
     gone = np.zeros(len(words) + 1, np.int64)
-    if copy:
-        return np.ones(len(words), bool)
-    if hits:
-        g, least = grams_and_minima(hashes.of(words), size, gram)
-        starts = windows_hit(g, least, np.unique(np.array(hits)))
-        starts = np.setdiff1d(starts, np.array(firsts or [], np.int64), assume_unique=True)
-        np.add.at(gone, starts, 1)
-        np.add.at(gone, starts + size, -1)
-    return np.cumsum(gone[:-1]) > 0
+    gone[starts] = 1
+    if firsts is not None:
+        gone[firsts] = 0
+    covered = np.cumsum(gone)
+    covered[size:] -= covered[:-size].copy()
+    return covered[:-1] > 0
 
 
 def _joined(docs: DataFrame, size: int, gram: int, batches: int) -> DataFrame:
@@ -247,18 +245,20 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
     """``doc_id, n_words, n_removed, kept_sha256`` of every document; kept words are joined by one space."""
 
     def run(parts):
-        hashes = WordHashes()
         for batch in parts:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 counts, removed, kept = [], [], []
-                for _, text, copy, hits, firsts in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
-                    words = text.encode().split()
-                    gone = _removed(words, hashes, copy, hits, firsts, size, gram)
-                    n = int(gone.sum())
+                hits, firsts = part.column(3), part.column(4)
+                for k, (text, copy) in enumerate(zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    words = left = text.split()
+                    if copy:
+                        left = []
+                    elif hits[k].is_valid:
+                        gone = _removed(words, hits[k].values.to_numpy(), firsts[k].values.to_numpy() if firsts[k].is_valid else None, size, gram)
+                        left = list(compress(words, (~gone).tolist()))
                     counts.append(len(words))
-                    removed.append(n)
-                    left = words if not n else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    removed.append(len(words) - len(left))
                     kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -273,15 +273,17 @@ def cut_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3
 
     @F.pandas_udf("string")
     def cut(text, copy, hits, firsts):
-        hashes, out = WordHashes(), []
+        out = []
         for t, c, h, f in zip(text, copy, hits, firsts, strict=True):
-            h = None if h is None else list(h)
-            if c is not True and not h:
+            if c is True:
+                out.append("")
+                continue
+            if h is None:
                 out.append(t)
                 continue
             raw = t.encode()
             words = raw.split()
-            gone = _removed(words, hashes, c is True, h, None if f is None else list(f), size, gram)
+            gone = _removed(words, np.asarray(h), None if f is None else np.asarray(f), size, gram)
             if not gone.any():
                 out.append(t)
                 continue
