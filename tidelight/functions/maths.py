@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def _horner(x: str, coefficients: tuple[float, ...]) -> str:
     return out
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once: for long expressions, which generated code could not hold if repeated."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def norm_cdf_sql(x: str) -> str:
     """The text of the same function for DuckDB; ``x`` must be a double."""
     a = f"least(abs({x}), 37e0)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelight.functions.maths import norm_cdf, norm_pdf
+from tidelight.functions.maths import bound, norm_cdf, norm_pdf
 
 # Seconds in a window, and seconds averaged at its end.
 WINDOW, LOOKBACK = 300, 60
@@ -39,7 +39,7 @@ def spread_of(sigma: Column, units: Column, basis: float) -> Column:
 def probability(m: Column, sigma: Column, units: Column, basis: float = 0.0) -> Column:
     """Chance that the average ends at or over its start; settled where no variance is left."""
     sd = spread_of(sigma, units, basis)
-    return F.when(m.isNull(), None).when(sd > 0, norm_cdf(F.try_divide(m, sd))).otherwise((m >= 0).cast("double"))
+    return F.when(m.isNull(), None).when(sd > 0, bound(F.try_divide(m, sd), norm_cdf)).otherwise((m >= 0).cast("double"))
 
 
 def greeks(m: Column, sigma: Column, t: Column, price: Column, basis: float = 0.0, lag: int = 0, lookback: int = LOOKBACK) -> dict[str, Column]:

@@ -59,7 +59,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", shipped).alias("id"),
         F.least(shipped, ordered).alias("t0"),
         (F.greatest(shipped, ordered) + 1).alias("t1"),
-        F.col("l_discount").alias("size"),
+        F.round(F.col("l_discount") * 100).alias("size"),
         F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("side"),
         (F.col("l_tax") - F.lit(0.04)).alias("ret"),
     )
@@ -71,6 +71,6 @@ TRADES_SQL = """trades AS (SELECT l_suppkey AS g, epoch(l_shipdate)::BIGINT AS t
 EVENTS_SQL = """ev AS (SELECT user_id AS g, event_id, floor(epoch(ts))::BIGINT AS ts, epoch_us(ts) AS us, event_type AS kind, value,
     (props->>'$.k')::BIGINT AS k FROM events)"""
 SPANS_SQL = """spans AS (SELECT l_suppkey AS g, concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', sd) AS id, least(sd, od) AS t0, greatest(sd, od) + 1 AS t1,
-    l_discount AS size, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_tax - 0.04 AS ret
+    round(l_discount * 100) AS size, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS side, l_tax - 0.04 AS ret
     FROM (SELECT *, floor(epoch(l_shipdate) / 86400)::BIGINT AS sd, floor(epoch(o_orderdate) / 86400)::BIGINT AS od
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
