@@ -165,15 +165,17 @@ def _batches(sketches: DataFrame, n: int) -> list[DataFrame]:
 
 
 def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3, index: FingerprintIndex | None = None) -> tuple[DataFrame, DataFrame]:
-    """What to cut from ``docs`` (``doc_id, text``), which enters the index in ``batches``.
+    """What to cut from ``docs`` (``doc_id, text``, no null ids), which enters the index in ``batches``.
+
+    Other columns of ``docs`` aren't used, but stay beside the text so that the
+    caller's own join of ``docs`` by ``doc_id`` can share one shuffle of it.
 
     Gives ``doc_id, copy, hits`` (gram positions) for the documents that may
     lose words, and ``doc_id, firsts``: the starts of windows that stay.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
-    docs = docs.filter("doc_id is not null")
-    sketches = materialize(sketch(docs, size, gram), "sketches")
+    sketches = materialize(sketch(docs.select("doc_id", "text"), size, gram), "sketches")
     long = sketches.filter(F.col("n_words") >= size)
     first = long.groupBy("text_digest").agg(F.min("doc_id").alias("first"))
     copies = materialize(
@@ -201,10 +203,11 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 digests, owners, places = [], [], []
-                for k, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                hits = part.column("hits")
+                for k, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                     words = text.split()
                     g, least = grams_and_minima(HASHES.of(words), size, gram)
-                    starts = windows_hit(g, least, part.column(2)[k].values.to_numpy())
+                    starts = windows_hit(g, least, hits[k].values.to_numpy())
                     flat = b" ".join(words)
                     offset = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
                     ends = (offset[starts + size] - 1).tolist()
@@ -214,10 +217,10 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
                     places += first.values()
                     owners.append(len(first))
                 d = np.frombuffer(b"".join(digests), [("d1", "<i8"), ("d2", "<i4")])
-                ids = np.repeat(part.column(0).to_numpy(), owners)
+                ids = np.repeat(part.column("doc_id").to_numpy(), owners)
                 yield pa.RecordBatch.from_arrays([pa.array(d["d1"].copy()), pa.array(d["d2"].copy()), pa.array(ids), pa.array(places, pa.int32())], ["d1", "d2", "doc_id", "start"])
 
-    may = docs.join(todo.filter("not copy").select("doc_id", "hits"), "doc_id").select("doc_id", "text", "hits")
+    may = docs.join(todo.filter("not copy").select("doc_id", "hits"), "doc_id").select(*docs.columns, "hits")
     windows = may.mapInArrow(run, "d1 long, d2 int, doc_id long, start int")
     firsts = windows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.min_by("start", "doc_id").alias("start"))
     return todo, firsts.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list("start").alias("firsts"))
@@ -237,8 +240,12 @@ def _removed(words: list[bytes], hits: np.ndarray, firsts: np.ndarray | None, si
 
 
 def _joined(docs: DataFrame, size: int, gram: int, batches: int) -> DataFrame:
-    todo, firsts = find_repeats(docs, size, gram, batches)
-    return docs.join(todo, "doc_id", "left").join(firsts, "doc_id", "left").select("doc_id", "text", "copy", "hits", "firsts")
+    """``docs`` with what to cut; rows with a null id have nothing to cut."""
+    named, rest = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    todo, firsts = find_repeats(named, size, gram, batches)
+    joined = named.join(todo, "doc_id", "left").join(firsts, "doc_id", "left").select(*docs.columns, "copy", "hits", "firsts")
+    nothing = [F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("copy", "hits", "firsts")]
+    return joined.unionByName(rest.select(*docs.columns, *nothing))
 
 
 def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,8 +276,6 @@ def cut_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3
     """``docs`` with repeated words cut from the text, each with the white space after it; other columns are unchanged."""
     rest = [c for c in docs.columns if c != text_col]
     packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), F.col(text_col).isNull().alias("none"))
-    todo, firsts = find_repeats(packed.select("doc_id", "text"), size, gram, batches)
-
     @F.pandas_udf("string")
     def cut(text, copy, hits, firsts):
         out = []
@@ -299,7 +304,7 @@ def cut_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3
 
         return pd.Series(out, dtype=object)
 
-    joined = packed.join(todo, "doc_id", "left").join(firsts, "doc_id", "left")
+    joined = _joined(packed, size, gram, batches)
     touched = F.col("copy").isNotNull()
     text = F.when(F.col("none"), F.lit(None)).when(touched, cut("text", "copy", "hits", "firsts")).otherwise(F.col("text"))
     value = {c: F.col(f"rest.c{i}") for i, c in enumerate(rest)} | {text_col: text}
