@@ -67,7 +67,8 @@ def release_shuffles(spark: SparkSession) -> None:
 
 def text_or_empty(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``doc_id`` and ``text``; null text is empty."""
+    plain = id_col == "doc_id" and df.schema[id_col].dataType.simpleString() == "bigint"  # no alias, so that equal plans stay equal
     return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col("doc_id") if plain else F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )

@@ -32,9 +32,9 @@ ZONES, ROWS, SAMPLE = 10, 3, 32
 
 def shingles(line: str, size: int) -> Column:
     """Distinct hashed character shingles; a fixed-width encoding makes each one a slice of bytes."""
-    wide = f"encode({line}, 'UTF-32')"
     n = f"greatest(length({line}) - {size}, 0)"
-    return F.expr(f"array_distinct(transform(sequence(0, {n}), i -> xxhash64(substring({wide}, 4 * i + 1, {4 * size}))))")
+    grams = f"transform(sequence(0, {n}), i -> xxhash64(substring(u, 4 * i + 1, {4 * size})))"
+    return F.expr(f"array_distinct(transform(array(encode({line}, 'UTF-32')), u -> {grams})[0])")
 
 
 def _keys(level: str) -> str:
