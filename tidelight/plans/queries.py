@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from tidelight.plans import bar_queries, join_queries, scalar_queries, span_queries  # noqa: F401
+from tidelight.plans import bar_queries, join_queries, scalar_queries, span_queries, stat_queries  # noqa: F401
 from tidelight.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
