@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidelight.llm.common import materialize, text_or_empty
 from tidelight.llm.components import connected_components
-from tidelight.llm.words import U, WordHashes, mix, ngrams
+from tidelight.llm.words import HASHES, U, mix, ngrams
 
 FEATURES = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
 #: Requests for texts up to so many rows are broadcast (16 bytes each); beyond, the texts are shuffled to them.
@@ -98,13 +98,12 @@ def features(docs: DataFrame, shingle: int = 2, bands: int = 42, band_rows: int
     """Shingle count, digest of the shingle set, and band keys of every whole text."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 counts, digests, keys = [], [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
-                    w = hashes.of(text.lower().split())
+                    w = HASHES.of(text.lower().split())
                     s = shingle_hashes(w, shingle)
                     counts.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -214,9 +213,8 @@ def pairs_across(many: DataFrame, docs: DataFrame, shingle: int, percent: int, b
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
 
     def sets(batches):
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_hashes(hashes.of(t.lower().split()), shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [shingle_hashes(HASHES.of(t.lower().split()), shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             sketches = [(signature(s, bands * band_rows) & U(0xFFFF)).astype(np.uint16).tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "sketch", "grams"])
 

@@ -35,10 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelight.llm.common import materialize, new_path, release_shuffles, text_or_empty
-from tidelight.llm.words import U, WordHashes, ngrams
+from tidelight.llm.words import HASHES, U, ngrams
 
-#: A worker's memo of word hashes, shared by its tasks.
-HASHES = WordHashes()
 SKETCH = "doc_id long, n_words long, text_digest binary, fps array<long>, starts array<int>"
 REPEATS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 

@@ -33,6 +33,8 @@ from tidelight.llm.common import text_or_empty
 from tidelight.llm.words import U, mix
 
 SPACE = 1 << 20
+#: Entries of a worker's memo of term hashes before it is emptied.
+MEMO_ENTRIES = 1 << 17
 #: Punctuation parts words; bytes of other scripts and letters stay.
 PARTS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 BEGINNINGS = (4, 6)
@@ -45,13 +47,17 @@ class TermHashes(dict):
         s = word.decode("utf-8", "replace").lower()
         one = xxhash.xxh3_64_intdigest
         out = (one("w" + s), *(one("p" + s[:n]) if len(s) > n else 0 for n in BEGINNINGS))
-        if len(self) >= 1 << 19:
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
         if len(word) <= 64:
             self[word] = out
         return out
 
 
+#: A worker's memo, shared by its tasks.
+TERMS = TermHashes()
+
+
 def terms(text: str, hashes: TermHashes) -> np.ndarray:
     """Distinct hashed terms of a text."""
     words = Counter(text.encode().translate(PARTS).split())
@@ -144,7 +150,7 @@ def fit(
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 16_000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **kw) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample: int = 12_000, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", **kw) -> FactorizationMachine:
     """Fit on at most ``sample`` rows of ``labels`` that are ``allowed`` (a condition on ``doc_id``)."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     if allowed is not None:
@@ -152,9 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
-        hashes = TermHashes()
         for batch in batches:
-            found = [terms(t.as_py(), hashes).astype(np.int32) for t in batch.column(1)]
+            found = [terms(t.as_py(), TERMS).astype(np.int32) for t in batch.column(1)]
             offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32))
             flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "y", "terms"])
@@ -170,11 +175,11 @@ def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        hashes, m = TermHashes(), held.value
+        m = held.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.probability(terms(t.as_py(), hashes)) for t in part.column(1)], pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m.probability(terms(t.as_py(), TERMS)) for t in part.column(1)], pa.float64())], ["doc_id", "score"])
 
     return text_or_empty(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -196,9 +201,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
     at = docs.columns.index(text_col)
 
     def run(batches):
-        hashes, m = TermHashes(), held.value
+        m = held.value
         for batch in batches:
-            ok = [m.probability(terms(t.as_py() or "", hashes)) < threshold for t in batch.column(at)]
+            ok = [m.probability(terms(t.as_py() or "", TERMS)) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries of a worker's memo of word hashes before it is emptied.
-MEMO_ENTRIES = 1 << 20
+MEMO_ENTRIES = 1 << 18
 U = np.uint64
 
 
@@ -25,6 +25,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), U, len(words))
 
 
+#: A worker's memo, shared by its tasks.
+HASHES = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser: every bit of the input moves every bit of the result."""
     x = x ^ (x >> U(30))
