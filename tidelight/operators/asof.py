@@ -25,8 +25,8 @@ def asof_join(
     back = direction == "backward"
     right_row = F.struct(F.col(right_time).alias("matched_time"), *values)
     ties = [F.col(c) for c in order or []]
-    stack = left.select(F.col(group).alias("_g"), F.col(left_time).alias("_t"), F.lit(1 if back != strict else 0).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(right_row.alias("r")).schema["r"].dataType).alias("_right"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order or [])])
-    other = right.select(F.col(group).alias("_g"), F.col(right_time).alias("_t"), F.lit(0 if back != strict else 1).alias("_side"), F.lit(None).cast(stack.schema["_left"].dataType).alias("_left"), right_row.alias("_right"), *[c.alias(f"_o{i}") for i, c in enumerate(ties)])
+    stack = left.select(F.col(group).alias("_g"), F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(right_row.alias("r")).schema["r"].dataType).alias("_right"), *[F.lit(None).cast(right.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order or [])])
+    other = right.select(F.col(group).alias("_g"), F.col(right_time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(stack.schema["_left"].dataType).alias("_left"), right_row.alias("_right"), *[c.alias(f"_o{i}") for i, c in enumerate(ties)])
     both = stack.unionByName(other)
     tie = [F.col(f"_o{i}") for i in range(len(ties))]
     sort = [F.col("_t"), F.col("_side"), *tie] if back else [F.col("_t").desc(), F.col("_side"), *[c.desc() for c in tie]]
