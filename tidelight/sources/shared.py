@@ -56,6 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that :func:`materialize` wrote and nothing reads any more."""
+    for path in df.inputFiles()[:1]:
+        delete_path(df.sparkSession, path.rsplit("/", 1)[0])
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now; it does so when the driver's JVM collects their owners."""
     gc.collect()
