@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.sources.shared import delete_path, materialize, new_path, release_shuffles, shared_dir
+from tidelight.sources.shared import delete_path, drop_table, materialize, new_path, release_shuffles, shared_dir
 
-__all__ = ["delete_path", "materialize", "new_path", "release_shuffles", "shared_dir", "text_or_empty"]
+__all__ = ["delete_path", "drop_table", "materialize", "new_path", "release_shuffles", "shared_dir", "text_or_empty"]
 
 
 def text_or_empty(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import delete_path, materialize
+from tidelight.llm.common import drop_table, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,8 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        for path in e.inputFiles()[:1]:
-            delete_path(e.sparkSession, path.rsplit("/", 1)[0])
+        drop_table(e)
         e, before, state = after, state, _state(after)
         if state == before:
             break

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize, new_path, release_shuffles, text_or_empty
+from tidelight.llm.common import drop_table, materialize, new_path, release_shuffles, text_or_empty
 from tidelight.llm.words import HASHES, U, ngrams
 
 SKETCH = "doc_id long, n_words long, text_digest binary, fps array<long>, starts array<int>"
@@ -180,6 +180,7 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
         long.select("doc_id", "text_digest").join(first, "text_digest").filter(F.col("doc_id") != F.col("first")).select("doc_id").distinct(), "copies"
     )
     own = materialize(long.join(copies, "doc_id", "left_anti").select("doc_id", "fps", "starts"), "own")
+    drop_table(sketches)
     hit = None
     for batch in _batches(own, batches):
         found = index.add(batch)
@@ -192,6 +193,8 @@ def find_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
         hits.select("doc_id", F.lit(False).alias("copy"), "hits").unionByName(copies.select("doc_id", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("hits"))),
         "todo",
     )
+    for done in (own, hit):
+        drop_table(done)
     release_shuffles(spark)
 
     blake = hashlib.blake2b
