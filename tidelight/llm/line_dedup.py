@@ -2,14 +2,14 @@
 
 A line's set is its distinct character shingles, hashed to 64 bits. Equal lines
 are one class. A signature is the sorted hashes of a sample that keeps a share
-``1 / 2**level`` of all possible shingles, the level set by the size of the set;
+``1 / 2**level`` of all possible shingles, the level set by the length of the line;
 sizes that similar lines may have on the other side of a level get both. In each
 of ``ZONES`` ranges of the hash space the next ``ROWS`` hashes make a band's key.
 A bucket's members are linked to its smallest alone; candidates are confirmed by
 the exact Jaccard similarity of the full sets, buckets that then hold several
 components get their remaining pairs, and one line of each component stays.
 
-At similarity 0.8 a pair shares a key with probability above 0.999.
+At similarity 0.8 a pair shares a key with probability of about 0.999.
 
 Defined results: a null text has no lines; lines that are empty or white space
 are not compared and all stay; a line shorter than a shingle is one shingle; of a
@@ -24,36 +24,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize
+from tidelight.llm.common import materialize, release_shuffles
 from tidelight.llm.near_dedup import BROADCAST_ROWS, link_members
 
 ZONES, ROWS, SAMPLE = 10, 3, 32
 
 
-def shingles(line: str, size: int) -> Column:
-    """Distinct hashed character shingles; a fixed-width encoding makes each one a slice of bytes."""
-    n = f"greatest(length({line}) - {size}, 0)"
-    grams = f"transform(sequence(0, {n}), i -> xxhash64(substring(u, 4 * i + 1, {4 * size})))"
-    return F.expr(f"array_distinct(transform(array(encode({line}, 'UTF-32')), u -> {grams})[0])")
+def hashed(line: str, size: int) -> str:
+    """SQL text of a line's hashed character shingles; a fixed-width encoding makes each one a slice of bytes."""
+    grams = f"transform(sequence(0, greatest(length({line}) - {size}, 0)), i -> xxhash64(substring(u, 4 * i + 1, {4 * size})))"
+    return f"transform(array(encode({line}, 'UTF-32')), u -> {grams})[0]"
 
 
-def _keys(level: str) -> str:
-    zone = lambda x: f"((shiftright({x}, 56) + 128) * {ZONES} div 256)"
-    held = f"array_sort(filter(grams, x -> x & (shiftleft(1L, {level}) - 1) = 0))"
-    lead = f"i = 0 or {zone('x')} <> {zone('s[i - 1]')} and i + {ROWS} <= size(s)"
-    return f"transform(array({held}), s -> array_compact(transform(s, (x, i) -> if({lead}, xxhash64({level}, slice(s, i + 1, {ROWS})), null))))[0]"
+def shingles(line: str, size: int) -> Column:
+    """A line's distinct hashed shingles."""
+    return F.expr(f"array_distinct({hashed(line, size)})")
 
 
 def _level(n: str) -> str:
     return f"greatest(0, cast(floor(log2({n} / {SAMPLE})) as int))"
 
 
-def band_keys(sets: DataFrame) -> DataFrame:
-    """``bucket, band, rep, n`` from ``rep, grams``."""
-    sized = sets.withColumn("n", F.size("grams").cast("long"))
-    levels = sized.withColumn("low", F.expr(_level("n"))).withColumn("high", F.expr(_level("n * 1.25")))
-    keys = F.expr(f"if(low = high, {_keys('low')}, concat({_keys('low')}, {_keys('high')}))")
-    return levels.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", "n")
+def _keys(sample: str, level: str) -> str:
+    zone = lambda x: f"((shiftright({x}, 56) + 128) * {ZONES} div 256)"
+    lead = f"i = 0 or {zone('x')} <> {zone('s[i - 1]')} and i + {ROWS} <= size(s)"
+    return f"transform(array({sample}), s -> array_compact(transform(s, (x, i) -> if({lead}, xxhash64({level}, slice(s, i + 1, {ROWS})), null))))[0]"
+
+
+def band_keys(lines: DataFrame, size: int) -> DataFrame:
+    """``bucket, band, rep, n`` from ``rep, line``.
+
+    Samples of higher levels are parts of those of lower ones, so the shingles are
+    hashed and sorted once. Set sizes are left to the exact test (``n`` is 1).
+    """
+    sized = lines.select("rep", "line", F.expr(f"greatest(length(line) - {size} + 1, 1)").alias("places"))
+    levels = sized.withColumn("low", F.expr(_level("places"))).withColumn("high", F.expr(_level("places * 1.25")))
+    kept = lambda x, level: f"filter({x}, h -> h & (shiftleft(1L, {level}) - 1) = 0)"
+    sampled = levels.select("rep", "low", "high", F.expr(f"array_sort(array_distinct({kept(hashed('line', size), 'low')}))").alias("s0"))
+    keys = F.expr(f"if(low = high, {_keys('s0', 'low')}, concat({_keys('s0', 'low')}, {_keys(kept('s0', 'high'), 'high')}))")
+    return sampled.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", F.lit(1).cast("long").alias("n"))
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,15 +84,16 @@ def confirm(pairs: DataFrame, distinct_lines: DataFrame, size: int, percent: int
 def mark_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, keep_doc_id, keep_line_no, kept`` of every line that is not blank."""
     lines = lines_of(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0)
-    digest = F.unhex(F.md5("line"))
-    groups = lines.groupBy(digest.alias("digest"), "line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    distinct_lines = materialize(groups.select(F.monotonically_increasing_id().alias("rep"), "digest", "line", "first"), "lines")
-    sets = distinct_lines.select("rep", shingles("line", size).alias("grams"))
-    nodes = link_members(band_keys(sets), percent, lambda pairs: confirm(pairs, distinct_lines, size, percent))
-    named = distinct_lines.select("rep", "digest", "first").join(nodes, F.col("rep") == F.col("node"), "left").select("digest", "first", F.coalesce("component", "rep").alias("component"))
-    winners = named.groupBy("component").agg(F.min("first").alias("keep"))
-    keep = named.join(winners, "component").select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
-    marked = lines.select("doc_id", "line_no", digest.alias("digest")).join(keep, "digest")
+    digest = F.unhex(F.sha2("line", 256))
+    groups = lines.select(digest.alias("digest"), "line").distinct()
+    distinct_lines = materialize(groups.select(F.monotonically_increasing_id().alias("rep"), "digest", "line"), "lines")
+    release_shuffles(docs.sparkSession)
+    members = band_keys(distinct_lines.select("rep", "line"), size).repartition("bucket")  # one shuffle for both uses
+    nodes = link_members(members, percent, lambda pairs: confirm(pairs, distinct_lines, size, percent))
+    named = distinct_lines.select("rep", "digest").join(nodes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    placed = materialize(lines.select("doc_id", "line_no", digest.alias("digest")).join(named, "digest").drop("digest"), "placed")
+    winners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
+    marked = placed.join(winners, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
     return marked.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", kept.alias("kept"))
 
