@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from tidelight.sources.shared import delete_path, drop_table, materialize, new_path, release_shuffles, shared_dir
 
-__all__ = ["delete_path", "drop_table", "materialize", "new_path", "release_shuffles", "shared_dir", "text_or_empty"]
+__all__ = ["delete_path", "drop_table", "materialize", "new_path", "release_shuffles", "shared_dir", "small_batches", "text_or_empty"]
+
+
+#: Rows of an Arrow batch of texts: documents are long, so the default of 10,000 would be far more memory than a task needs.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session sends texts to Python in small batches."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
 
 
 def text_or_empty(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on, as ``doc_id`` and ``text``; null text is empty."""
+    small_batches(df)
     plain = id_col == "doc_id" and df.schema[id_col].dataType.simpleString() == "bigint"  # no alias, so that equal plans stay equal
     return df.select(
         F.col("doc_id") if plain else F.col(id_col).cast("long").alias("doc_id"),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import drop_table, materialize, new_path, release_shuffles, text_or_empty
+from tidelight.llm.common import drop_table, materialize, new_path, release_shuffles, small_batches, text_or_empty
 from tidelight.llm.words import HASHES, U, ngrams
 
 SKETCH = "doc_id long, n_words long, text_digest binary, fps array<long>, starts array<int>"
@@ -276,7 +276,7 @@ def mark_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int =
 def cut_repeats(docs: DataFrame, size: int = 20, gram: int = 6, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated words cut from the text, each with the white space after it; other columns are unchanged."""
     rest = [c for c in docs.columns if c != text_col]
-    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), F.col(text_col).isNull().alias("none"))
+    packed = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), F.col(text_col).isNull().alias("none"))
     @F.pandas_udf("string")
     def cut(text, copy, hits, firsts):
         out = []

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelight.llm.bpe import read_json_ranks, read_ranks
+from tidelight.llm.common import small_batches
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -53,7 +54,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, tuple[str, str]], id_col
                     n = pa.array([len(enc.encode_ordinary(t)) for t in texts], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([version] * len(texts)), n], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.col(lang_col).cast("string").alias("lang"),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import text_or_empty
+from tidelight.llm.common import small_batches, text_or_empty
 from tidelight.llm.words import U, mix
 
 SPACE = 1 << 20
@@ -206,4 +206,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_
             ok = [m.probability(terms(t.as_py() or "", TERMS)) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
