@@ -31,7 +31,7 @@ MOM_SQL = f"""{RET_SQL}, m AS (SELECT g, avg(r) AS m FROM ret GROUP BY g), k AS
 def sharpe_summary(spark, sf):
     """Moments, Sharpe ratio, probabilistic Sharpe ratio, Jarque-Bera and hit rate of each supplier's daily profit."""
     digits = {"mean": 9, "sd": 9, "sharpe": 9, "skew": 8, "kurtosis": 7, "psr": 8, "jarque_bera": 5, "hit_rate": 9}
-    return stats.summary(returns(spark, sf).withColumn("r", F.col("r")), "g", "r").select("g", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return stats.summary(returns(spark, sf), "g", "r").select("g", "n", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @query("cvar", f"WITH {RET_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY r, day) AS rn, count(*) OVER (PARTITION BY g) AS n FROM ret) SELECT g, round(avg(r), 9) AS cvar FROM k WHERE rn <= ceil(0.05 * n) GROUP BY g")
