@@ -113,6 +113,20 @@ def test_lines(spark, sf, docs, odd):
     assert left.columns == odd.columns and left.count() == len(ODD)
 
 
+def test_lines_that_repeat_themselves(spark):
+    """A line written 1, 2 and 5 times, and lines of one character, against brute force."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9)))
+    said = [" ".join(word() for _ in range(n)) for n in (15, 30, 40) for _ in range(12)]
+    made = [(10 * i + k, " ".join([s] * times)) for i, s in enumerate(said) for k, times in enumerate((1, 2, 5))]
+    made += [(10000 + k, c * n) for k, (c, n) in enumerate((c, n) for c in "-=*#_x" for n in (80, 160, 200, 900))]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    cols = ("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept")
+    assert rows(line_dedup.mark_lines(d), *cols) == brute.lines(made)
+    lines = d.withColumnsRenamed({"doc_id": "rep", "text": "line"})
+    assert line_dedup.band_keys(lines, 8).select("rep").distinct().count() == len(made)
+
+
 def test_lines_stay_in_the_jvm(spark, sf):
     plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -2,8 +2,9 @@
 
 A line's set is its distinct character shingles, hashed to 64 bits. Equal lines
 are one class. A signature is the sorted hashes of a sample that keeps a share
-``1 / 2**level`` of all possible shingles, the level set by the length of the line;
-sizes that similar lines may have on the other side of a level get both. In each
+``1 / 2**level`` of all possible shingles, the level set by the size of the set, so
+that a line that repeats itself is sampled like any other; sizes that similar lines
+may have on the other side of a level get both. In each
 of ``ZONES`` ranges of the hash space the next ``ROWS`` hashes make a band's key.
 A bucket's members are linked to its smallest alone; candidates are confirmed by
 the exact Jaccard similarity of the full sets, buckets that then hold several
@@ -54,15 +55,18 @@ def _keys(sample: str, level: str) -> str:
 def band_keys(lines: DataFrame, size: int) -> DataFrame:
     """``bucket, band, rep, n`` from ``rep, line``.
 
-    Samples of higher levels are parts of those of lower ones, so the shingles are
-    hashed and sorted once. Set sizes are left to the exact test (``n`` is 1).
+    The distinct shingles are hashed once and counted; the count ``n`` sets the levels.
+    Samples of higher levels are parts of those of lower ones, so one sample is sorted.
+    A sample that happens to be empty is the set's least hash.
     """
-    sized = lines.select("rep", "line", F.expr(f"greatest(length(line) - {size} + 1, 1)").alias("places"))
-    levels = sized.withColumn("low", F.expr(_level("places"))).withColumn("high", F.expr(_level("places * 1.25")))
+    sets = lines.select("rep", shingles("line", size).alias("h")).withColumn("n", F.size("h").cast("long"))
+    levels = sets.withColumn("low", F.expr(_level("n"))).withColumn("high", F.expr(_level("n * 1.25D")))
     kept = lambda x, level: f"filter({x}, h -> h & (shiftleft(1L, {level}) - 1) = 0)"
-    sampled = levels.select("rep", "low", "high", F.expr(f"array_sort(array_distinct({kept(hashed('line', size), 'low')}))").alias("s0"))
-    keys = F.expr(f"if(low = high, {_keys('s0', 'low')}, concat({_keys('s0', 'low')}, {_keys(kept('s0', 'high'), 'high')}))")
-    return sampled.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", F.lit(1).cast("long").alias("n"))
+    some = lambda x: f"transform(array({x}), y -> if(size(y) > 0, y, array(least_hash)))[0]"
+    sampled = levels.select("rep", "n", "low", "high", F.array_min("h").alias("least_hash"), F.expr(f"array_sort({kept('h', 'low')})").alias("s0"))
+    low, high = _keys(some("s0"), "low"), _keys(some(kept("s0", "high")), "high")
+    keys = F.expr(f"if(low = high, {low}, concat({low}, {high}))")
+    return sampled.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", "n")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
