@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelight.functions import betting, maths
 from tidelight.operators import asof, bars, labels, sequences, spans, stats
+from tidelight.plans import model_queries, sequence_queries
+from tidelight.sources import tables
 
 
 def rows(df, *cols):
@@ -117,6 +119,35 @@ def test_sequences():
     assert draws.count(2) > draws.count(0)
 
 
+def test_chow_takes_every_supplier(spark):
+    sf = "/root/testdata/sf0.01"
+    totals = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").collect():
+        t = totals.setdefault(r[0], {}).setdefault(r[1].year * 12 + r[1].month, [0.0, 0.0])
+        t[0] += float(r[2])
+        t[1] += float(r[3])
+    want = {}
+    for g, months in totals.items():
+        y = np.array([p / q / 100 for _, (p, q) in sorted(months.items())])
+        x, d = y[:-1], np.diff(y)
+        n, ts = len(d), []
+        for k in range(int(n * 0.15), int(n * 0.85)):
+            z = np.where(np.arange(n) >= k, x, 0.0)
+            b = (z @ d) / (z @ z)
+            ts.append(b / math.sqrt(((d - b * z) ** 2).sum() / (n - 1) / (z @ z)))
+        want[g] = max(ts)
+    got = {r["g"]: r["sdfc"] for r in sequence_queries.chow_dfc(spark, sf).collect()}
+    assert len(want) > 30 and got == pytest.approx(want, rel=1e-9)
+
+
+def test_importance_takes_every_supplier(spark, sf):
+    whole = [tuple(r) for r in tables.spans(spark, sf).select("g", "id").collect()]
+    s, roles = model_queries.labelled(spark, sf)
+    assert rows(s, "g", "id") == sorted(whole) and len({g for g, _ in whole}) > 1
+    assert rows(roles.filter("role = 'test'"), "g", "id") == sorted(whole)
+    assert rows(roles.select("g", "test_fold").distinct(), "g", "test_fold") == [(g, f) for g in sorted({g for g, _ in whole}) for f in range(3)]
+
+
 def test_plans_have_no_nested_loop_and_windows_have_keys(spark, sf):
     from tidelight.plans.queries import QUERIES
 

@@ -60,8 +60,9 @@ def har_fit(spark, sf):
 
 
 def labelled(spark, sf):
-    s = spans(spark, sf).filter("g = 1").withColumn("x2", (F.col("t1") - F.col("t0")).cast("double")).withColumn("t1", F.col("t0") + 30).select("g", "id", "t0", "t1", F.col("size").alias("x1"), "x2", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("noise"), (F.col("ret") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    roles = sp.purged_kfold(s.select("g", "id", "t0", "t1"), "g", ["t0", "id"], 3, 5).select("id", "test_fold", "role")
+    """Every supplier's spans as labelled rows, and their roles; folds and purging are within a supplier."""
+    s = spans(spark, sf).withColumn("x2", (F.col("t1") - F.col("t0")).cast("double")).withColumn("t1", F.col("t0") + 30).select("g", "id", "t0", "t1", F.col("size").alias("x1"), "x2", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("noise"), (F.col("ret") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    roles = sp.purged_kfold(s.select("g", "id", "t0", "t1"), "g", ["t0", "id"], 3, 5).select("g", "id", "test_fold", "role")
     return s.withColumn("x1", F.col("x1") + 3 * F.col("y")), roles
 
 
@@ -69,7 +70,7 @@ def labelled(spark, sf):
 def cv_importance(spark, sf):
     """Held-out loss of a logistic regression over purged folds, and its rise when a feature is permuted."""
     s, roles = labelled(spark, sf)
-    out = models.cross_validate(s, ["x1", "x2", "noise"], "y", "w", roles, ["id"], 3, ["x1", "noise"])
+    out = models.cross_validate(s, ["x1", "x2", "noise"], "y", "w", roles, ["g", "id"], 3, ["x1", "noise"])
     return out.groupBy("feature").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 

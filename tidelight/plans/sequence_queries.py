@@ -104,7 +104,8 @@ MONTH_SQL = "m AS (SELECT l_suppkey AS g, year(l_shipdate) * 12 + month(l_shipda
 
 
 def monthly(spark, sf):
-    li = read(spark, sf, "lineitem").filter("l_suppkey <= 30")
+    """Mean price of each supplier's months."""
+    li = read(spark, sf, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("g"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("t")).agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 100).alias("y"))
 
 
@@ -115,7 +116,7 @@ def monthly(spark, sf):
 )
 def csw_cusum(spark, sf):
     """CUSUM of levels against all earlier levels, as a share of its critical value."""
-    out = sq.per_series(monthly(spark, sf), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.csw_cusum(y).tolist()})
+    out = sq.per_series(monthly(spark, sf).filter("g <= 30"), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.csw_cusum(y).tolist()})
     return out.filter("i >= 2").select("g", "i", F.round("stat", 6).alias("stat"))
 
 
@@ -128,13 +129,13 @@ def csw_cusum(spark, sf):
 )
 def bsadf(spark, sf):
     """Backward supremum of Dickey-Fuller statistics."""
-    out = sq.per_series(monthly(spark, sf), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.bsadf(y).tolist()})
+    out = sq.per_series(monthly(spark, sf).filter("g <= 30"), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.bsadf(y).tolist()})
     return out.filter(~F.isnan("stat")).select("g", "i", F.round("stat", 5).alias("stat"))
 
 
 @query("chow_dfc")
 def chow_dfc(spark, sf):
-    """Supremum of Chow-type Dickey-Fuller statistics."""
+    """Supremum of Chow-type Dickey-Fuller statistics of every supplier."""
     return sq.per_series(monthly(spark, sf), "g", "t", "y", "sdfc double", lambda y: {"sdfc": [sq.chow(y)]})
 
 
