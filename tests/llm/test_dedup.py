@@ -127,6 +127,25 @@ def test_lines_that_repeat_themselves(spark):
     assert line_dedup.band_keys(lines, 8).select("rep").distinct().count() == len(made)
 
 
+def test_short_similar_lines(spark):
+    """Pairs of short lines of similarity from 0.8 to 0.9: every one shares a key."""
+    r = random.Random(6)
+    made, at = [], 0
+    for n in (4, 5, 6, 9, 12, 16, 20, 23, 24):
+        for _ in range(40):
+            line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + 7))
+            more = r.randrange(1, n // 4 + 1)
+            made += [(at, line), (at + 1, line + "".join(r.choice("0123456789") for _ in range(more)))]
+            at += 2
+    d = spark.createDataFrame(made, "rep long, line string")
+    keys = {}
+    for k in line_dedup.band_keys(d, 8).collect():
+        keys.setdefault(k["rep"], set()).add(k["bucket"])
+    assert all(keys[k] & keys[k + 1] for k in range(0, at, 2))
+    cols = ("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept")
+    assert rows(line_dedup.mark_lines(d, id_col="rep", text_col="line"), *cols) == brute.lines(made)
+
+
 def test_lines_stay_in_the_jvm(spark, sf):
     plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -10,7 +10,11 @@ A bucket's members are linked to its smallest alone; candidates are confirmed by
 the exact Jaccard similarity of the full sets, buckets that then hold several
 components get their remaining pairs, and one line of each component stays.
 
-At similarity 0.8 a pair shares a key with probability of about 0.999.
+Sets of up to ``SMALL`` shingles have keys that miss no pair of similarity 0.8:
+sets of sizes n and m that are so similar differ in at most (n + m) / 9 shingles, so
+of one zone more at least one is equal in both. A zone that is empty in both tells
+nothing; sets with one also have their least hashes as keys (the prefix in which any
+two such sets meet). Larger sets have the bands alone: see the README for their recall.
 
 Defined results: a null text has no lines; lines that are empty or white space
 are not compared and all stay; a line shorter than a shingle is one shingle; of a
@@ -29,6 +33,8 @@ from tidelight.llm.common import materialize, release_shuffles
 from tidelight.llm.near_dedup import BROADCAST_ROWS, link_members
 
 ZONES, ROWS, SAMPLE = 10, 3, 32
+#: A pair whose smaller set has up to so many shingles is found by keys that miss none.
+SMALL = 24
 
 
 def hashed(line: str, size: int) -> str:
@@ -52,6 +58,18 @@ def _keys(sample: str, level: str) -> str:
     return f"transform(array({sample}), s -> array_compact(transform(s, (x, i) -> if({lead}, xxhash64({level}, slice(s, i + 1, {ROWS})), null))))[0]"
 
 
+def _sure_keys(s: str, n: str) -> str:
+    """Keys of a sorted set with which any set of similarity 0.8 shares one, where the smaller has up to ``SMALL`` shingles."""
+    zone = lambda x: f"((shiftright({x}, 56) + 128) * z div 256)"
+    least = f"(4 * {n} + 4) div 5"
+    most = f"if({n} > {SMALL}, {SMALL}L, 5 * {n} div 4)"
+    zones = f"sequence(({n} + {least}) div 9 + 1, ({n} + {most}) div 9 + 1)"
+    parts = f"flatten(transform({zones}, z -> transform(sequence(0L, z - 1), k -> struct(z, k, filter({s}, x -> {zone('x')} = k) as part))))"
+    named = "transform(filter(p, y -> size(y.part) > 0), y -> xxhash64('zone', y.z, y.k, y.part))"
+    prefix = f"transform(slice({s}, 1, cast({n} - {least} + 1 as int)), x -> xxhash64('least', x))"
+    return f"transform(array({parts}), p -> if(exists(p, y -> size(y.part) = 0), concat({named}, {prefix}), {named}))[0]"
+
+
 def band_keys(lines: DataFrame, size: int) -> DataFrame:
     """``bucket, band, rep, n`` from ``rep, line``.
 
@@ -65,7 +83,9 @@ def band_keys(lines: DataFrame, size: int) -> DataFrame:
     some = lambda x: f"transform(array({x}), y -> if(size(y) > 0, y, array(least_hash)))[0]"
     sampled = levels.select("rep", "n", "low", "high", F.array_min("h").alias("least_hash"), F.expr(f"array_sort({kept('h', 'low')})").alias("s0"))
     low, high = _keys(some("s0"), "low"), _keys(some(kept("s0", "high")), "high")
-    keys = F.expr(f"if(low = high, {low}, concat({low}, {high}))")
+    sure = _sure_keys("s0", "n")  # of level 0, so of the whole set
+    bands = f"if(low = high, {low}, concat({low}, {high}))"
+    keys = F.expr(f"case when n <= {SMALL} then {sure} when (4 * n + 4) div 5 <= {SMALL} then concat({sure}, {bands}) else {bands} end")
     return sampled.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", "n")
 
 
