@@ -119,6 +119,26 @@ def test_sequences():
     assert draws.count(2) > draws.count(0)
 
 
+def test_martingale_tries_every_window(spark, sf):
+    series = {}
+    for r in sequence_queries.daily(spark, sf).orderBy("day").collect():
+        series.setdefault(r["g"], []).append(r["v"])
+    g = min(series)
+    y = np.array(series[g])[:150]
+    want = []
+    for end in range(20, len(y) + 1):
+        best = 0.0
+        for start in range(end - 19):
+            z = y[start:end]
+            u = np.arange(1, len(z) + 1) / len(z)
+            x = np.column_stack([np.ones(len(z)), u, u * u])
+            beta, *_ = np.linalg.lstsq(x, z, rcond=None)
+            best = max(best, abs(beta[2]) / math.sqrt(((z - x @ beta) ** 2).sum() / (len(z) - 3) * np.linalg.inv(x.T @ x)[2, 2]))
+        want.append(best)
+    got = {r["i"]: r["smt"] for r in model_queries.martingale_tests(spark, sf).filter(F.col("g") == g).collect()}
+    assert [got[i] for i in range(19, len(y))] == pytest.approx(want, rel=1e-7)
+
+
 def test_chow_takes_every_supplier(spark):
     sf = "/root/testdata/sf0.01"
     totals = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,17 +75,6 @@ def cv_importance(spark, sf):
 
 @query("martingale_tests")
 def martingale_tests(spark, sf):
-    """Greatest trend statistic of each series over windows that end at its last day."""
-
-    def smt(y):
-        t = np.arange(len(y), dtype=float)
-        best = 0.0
-        for start in range(0, len(y) - 20, max(1, len(y) // 60)):
-            x = t[start:] - t[start:].mean()
-            z = y[start:] - y[start:].mean()
-            b = x @ z / (x @ x)
-            se = np.sqrt(max(((z - b * x) ** 2).sum(), 1e-300) / max(len(x) - 2, 1) / (x @ x))
-            best = max(best, abs(b) / se)
-        return {"smt": [best]}
-
-    return sq.per_series(daily(spark, sf), "g", "day", "v", "smt double", smt)
+    """Greatest quadratic trend statistic over all windows that end at each day of a series."""
+    out = sq.per_series(daily(spark, sf), "g", "day", "v", "i long, smt double", lambda y: {"i": list(range(len(y))), "smt": sq.smt(y).tolist()})
+    return out.filter(~F.isnan("smt"))
