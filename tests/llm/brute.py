@@ -75,7 +75,7 @@ def components(ids, sets, percent):
 
 def lines(docs, size=8, percent=80):
     """{(doc_id, line_no, keep_doc_id, keep_line_no, kept)} of docs: list of (doc_id, text)."""
-    places = [((i, k), x) for i, t in sorted(docs) for k, x in enumerate((t or "").split("\n")) if t is not None and x.strip(" ")]
+    places = [((i, k), x) for i, t in sorted(docs) for k, x in enumerate((t or "").split("\n")) if t is not None and x.strip()]
     first = {}
     for p, x in places:
         first.setdefault(x, p)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -146,6 +147,65 @@ def test_short_similar_lines(spark):
     assert rows(line_dedup.mark_lines(d, id_col="rep", text_col="line"), *cols) == brute.lines(made)
 
 
+def test_line_keys_recall(spark):
+    """Long lines against brute force: of pairs of similarity 0.8 to 0.85 nearly all share a key."""
+    r = random.Random(8)
+    made, at = [], 0
+    for n in (28, 40, 70, 150, 400, 1500):
+        for _ in range(60):
+            line = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + 7)]
+            other = line[:-max(1, n // 10)] + [r.choice("0123456789") for _ in range(max(1, n // 10))]
+            made += [(at, "".join(line)), (at + 1, "".join(other))]
+            at += 2
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for _, x in made]
+    close = [k for k in range(0, at, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    keys = {}
+    for k in line_dedup.band_keys(spark.createDataFrame(made, "rep long, line string"), 8).collect():
+        keys.setdefault(k["rep"], set()).add(k["bucket"])
+    assert len(close) > 250
+    assert sum(bool(keys[k] & keys[k + 1]) for k in close) >= 0.98 * len(close)
+
+
+def test_line_families(spark, monkeypatch):
+    """Noisy copies of a few lines, in blocks; white-space lines and names that clash with inner ones."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    base = [[word() for _ in range(40)] for _ in range(2)]
+    made = [(k, "\n".join([" ".join(word() if r.random() < 0.02 else w for w in base[k % 2]), "\t", "", "\u00a0 "])) for k in range(120)]
+    made += [(500, "-" * 40), (501, "-" * 4000), (502, "ab " * 15), (503, "ab " * 915), (504, "ha " * 20), (505, "ha " * 200)]
+    d = spark.createDataFrame([(i, t, 1, {"a": 2}, 3) for i, t in made], "doc_id long, text string, gone int, _gone map<string,int>, rep int")
+    cols = ("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept")
+    want = brute.lines(made)
+    got = rows(line_dedup.mark_lines(d), *cols)
+    assert len(got ^ want) <= 0.02 * len(want)  # bands are a matter of chance
+    left = {x["doc_id"]: x["text"] for x in line_dedup.drop_lines(d).collect()}
+    assert left[1].endswith("\t\n\n\u00a0 ") and left[501] == "" and left[505] == ""
+    assert line_dedup.drop_lines(d).columns == d.columns
+
+
+def test_near_ids_that_repeat(spark):
+    """Rows that repeat an id with other texts are compared by their own words; clashing names are carried."""
+    words = [f"w{k}" for k in range(40)]
+    a, b = " ".join(words), " ".join(words[::-1])
+    made = [(5, a), (5, b), (5, a), (7, b + " end"), (9, a + " end"), (9, a + " end"), (11, "else " + b)]
+    d = spark.createDataFrame([(i, t, 1, {"x": 1}) for i, t in made], "doc_id long, text string, gone int, _gone map<string,int>")
+    got = sorted(tuple(r) for r in near_dedup.label_near(d).select("doc_id", "component_id", "kept").collect())
+    assert got == [(5, 5, True)] * 3 + [(7, 5, False)] + [(9, 5, False)] * 2 + [(11, 5, False)]
+    left = near_dedup.drop_near(d, shingle=2)
+    assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {5}
+
+
+def test_odd_sketches_bound_the_difference():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 60, 64, 65, 5000, 40000)]
+    sets += [np.unique(np.r_[x[: len(x) * 9 // 10], r.integers(0, 2**63, 5).astype(np.uint64)]) for x in sets]
+    odd = near_dedup.OddSketches([near_dedup.odd_sketch(x) for x in sets])
+    for i in range(len(sets)):
+        least = odd.least_difference(i, np.arange(len(sets)))
+        assert all(d <= len(np.setxor1d(sets[i], x)) for d, x in zip(least, sets, strict=True))
+
+
 def test_lines_stay_in_the_jvm(spark, sf):
     plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

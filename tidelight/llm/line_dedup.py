@@ -1,27 +1,31 @@
 """Fuzzy deduplication of lines, in DataFrame operations only.
 
-A line's set is its distinct character shingles, hashed to 64 bits. Equal lines
-are one class. A signature is the sorted hashes of a sample that keeps a share
-``1 / 2**level`` of all possible shingles, the level set by the size of the set, so
-that a line that repeats itself is sampled like any other; sizes that similar lines
-may have on the other side of a level get both. In each
-of ``ZONES`` ranges of the hash space the next ``ROWS`` hashes make a band's key.
-A bucket's members are linked to its smallest alone; candidates are confirmed by
-the exact Jaccard similarity of the full sets, buckets that then hold several
-components get their remaining pairs, and one line of each component stays.
+A line's set is its distinct shingles of characters (UTF-16 units), hashed to 64 bits. Equal lines
+are one class. Hashes below a threshold are the set's sample; the threshold halves
+with each level, and the level is set by the number of distinct shingles, so that a
+line that repeats itself is sampled like any other. Sizes that similar lines may
+have on the other side of a level get the keys of both. In each of ``ZONES`` ranges
+of the sample the first hash and the ``ROWS - 1`` next ones make a band's key.
 
 Sets of up to ``SMALL`` shingles have keys that miss no pair of similarity 0.8:
 sets of sizes n and m that are so similar differ in at most (n + m) / 9 shingles, so
 of one zone more at least one is equal in both. A zone that is empty in both tells
 nothing; sets with one also have their least hashes as keys (the prefix in which any
-two such sets meet). Larger sets have the bands alone: see the README for their recall.
-
-Defined results: a null text has no lines; lines that are empty or white space
-are not compared and all stay; a line shorter than a shingle is one shingle; of a
-component the first line stays, by (document, line number); a null id sorts
-first; rows that repeat an id are the same document, and their equal places stay
-or go together; an empty table gives no rows; other columns are ignored by
-:func:`mark_lines` and carried by :func:`drop_lines`.
+two such sets meet). Larger sets have the bands alone; the README states their recall.
+
+A bucket's members are linked to its smallest alone; candidates are confirmed by
+the exact Jaccard similarity of the full sets. Buckets that then hold several
+components get their remaining pairs, in blocks, by a join that makes a row of a
+pair only if sizes and odd sketches (parities of the shingles on each of 512 bits,
+which bound the symmetric difference from below) allow the similarity. One line of
+each component stays.
+
+Defined results: a null text has no lines; lines that are empty or all white space
+(of any kind) are not compared and all stay; a line shorter than a shingle is one
+shingle; very long lines are compared whole; of a component the first line stays, by
+(document, line number); a null id sorts first; rows that repeat an id are the same
+document, and their equal places stay or go together; an empty table gives no rows;
+other columns are ignored by :func:`mark_lines` and carried by :func:`drop_lines`.
 """
 
 from __future__ import annotations
@@ -29,18 +33,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize, release_shuffles
-from tidelight.llm.near_dedup import BROADCAST_ROWS, link_members
+from tidelight.llm.common import drop_table, materialize, release_shuffles
+from tidelight.llm.near_dedup import BROADCAST_ROWS, in_blocks, link_members, similar_sizes
 
-ZONES, ROWS, SAMPLE = 10, 3, 32
+ZONES, ROWS, SAMPLE = 10, 3, 24
+#: Least hashes that are looked at for bands. A sample has 48 of them on average at most; more than this are one in thousands.
+PREFIX = 72
 #: A pair whose smaller set has up to so many shingles is found by keys that miss none.
 SMALL = 24
+#: Words of 64 bits of an odd sketch.
+SKETCH = 8
 
 
 def hashed(line: str, size: int) -> str:
-    """SQL text of a line's hashed character shingles; a fixed-width encoding makes each one a slice of bytes."""
-    grams = f"transform(sequence(0, greatest(length({line}) - {size}, 0)), i -> xxhash64(substring(u, 4 * i + 1, {4 * size})))"
-    return f"transform(array(encode({line}, 'UTF-32')), u -> {grams})[0]"
+    """SQL text of a line's hashed shingles of ``size`` UTF-16 units; in that encoding each one is a slice of bytes."""
+    grams = f"transform(sequence(1, greatest(octet_length(u) - {2 * size}, 0) + 1, 2), i -> xxhash64(substring(u, i, {2 * size})))"
+    return f"transform(array(encode({line}, 'UTF-16BE')), u -> {grams})[0]"
 
 
 def shingles(line: str, size: int) -> Column:
@@ -52,10 +60,9 @@ def _level(n: str) -> str:
     return f"greatest(0, cast(floor(log2({n} / {SAMPLE})) as int))"
 
 
-def _keys(sample: str, level: str) -> str:
-    zone = lambda x: f"((shiftright({x}, 56) + 128) * {ZONES} div 256)"
-    lead = f"i = 0 or {zone('x')} <> {zone('s[i - 1]')} and i + {ROWS} <= size(s)"
-    return f"transform(array({sample}), s -> array_compact(transform(s, (x, i) -> if({lead}, xxhash64({level}, slice(s, i + 1, {ROWS})), null))))[0]"
+def _zone(x: str, level: str) -> str:
+    """The zone of a hash among the sample of a level; ``ZONES`` or more outside of it. Zones ascend with the hash."""
+    return f"shiftright(shiftrightunsigned({x} ^ shiftleft(1L, 63), 54 - {level}) * {ZONES}, 10)"
 
 
 def _sure_keys(s: str, n: str) -> str:
@@ -71,62 +78,99 @@ def _sure_keys(s: str, n: str) -> str:
 
 
 def band_keys(lines: DataFrame, size: int) -> DataFrame:
-    """``bucket, band, rep, n`` from ``rep, line``.
+    """``bucket, band, rep, n`` from ``rep, line``; ``n`` is the number of distinct shingles.
 
-    The distinct shingles are hashed once and counted; the count ``n`` sets the levels.
-    Samples of higher levels are parts of those of lower ones, so one sample is sorted.
-    A sample that happens to be empty is the set's least hash.
+    Shingles are hashed as one array and sorted; of that only the least hashes go
+    on. The generators are outer ones: for others the optimizer adds a filter on
+    the array's size, and computes the array twice.
     """
-    sets = lines.select("rep", shingles("line", size).alias("h")).withColumn("n", F.size("h").cast("long"))
-    levels = sets.withColumn("low", F.expr(_level("n"))).withColumn("high", F.expr(_level("n * 1.25D")))
-    kept = lambda x, level: f"filter({x}, h -> h & (shiftleft(1L, {level}) - 1) = 0)"
-    some = lambda x: f"transform(array({x}), y -> if(size(y) > 0, y, array(least_hash)))[0]"
-    sampled = levels.select("rep", "n", "low", "high", F.array_min("h").alias("least_hash"), F.expr(f"array_sort({kept('h', 'low')})").alias("s0"))
-    low, high = _keys(some("s0"), "low"), _keys(some(kept("s0", "high")), "high")
-    sure = _sure_keys("s0", "n")  # of level 0, so of the whole set
-    bands = f"if(low = high, {low}, concat({low}, {high}))"
-    keys = F.expr(f"case when n <= {SMALL} then {sure} when (4 * n + 4) div 5 <= {SMALL} then concat({sure}, {bands}) else {bands} end")
-    return sampled.select(F.explode(keys).alias("bucket"), F.lit(0).alias("band"), "rep", "n")
+    sets = lines.select("rep", F.expr(hashed("line", size)).alias("h")).select("rep", F.expr("array_distinct(h)").alias("h"))
+    least = sets.select("rep", F.size("h").cast("long").alias("n"), F.expr(f"slice(sort_array(h), 1, {PREFIX})").alias("s"))
+    levels = least.withColumn("low", F.expr(_level("n"))).withColumn("high", F.expr(_level("n * 1.25D")))
+    run = ", ".join(f"s[p + {k}]" for k in range(-1, ROWS - 1))
+
+    def bands(level: str) -> str:
+        places = f"transform(sequence(0L, {ZONES - 1}L), z -> cast(array_position(q, z) as int))"
+        keys = f"transform({places}, p -> if(p > 0 and p + {ROWS - 1} <= size(s), xxhash64({level}, {run}), null))"
+        return f"transform(array(transform(s, x -> {_zone('x', level)})), q -> {keys})[0]"
+
+    sure = f"if((4 * n + 4) div 5 <= {SMALL}, {_sure_keys('s', 'n')}, array())"
+    keys = f"concat({sure}, if(n > {SMALL}, {bands('low')}, array()), if(n > {SMALL} and low < high, {bands('high')}, array()))"
+    buckets = levels.select("rep", "n", F.expr(keys).alias("keys")).select("rep", "n", F.explode_outer("keys").alias("bucket"))
+    return buckets.filter("bucket is not null").select("bucket", F.lit(0).alias("band"), "rep", "n")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, line`` of every line, from 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
-    return rows
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
+
+
+def _lines_in(distinct_lines: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep, line`` of the lines that ``reps`` (``rep``, distinct) names."""
+    reps = materialize(reps, "reps")
+    return distinct_lines.select("rep", "line").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "rep", "left_semi")
 
 
 def confirm(pairs: DataFrame, distinct_lines: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar."""
-    ids = materialize(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
-    small = ids.count() <= BROADCAST_ROWS
-    sets = materialize(distinct_lines.join(F.broadcast(ids) if small else ids, "rep", "left_semi").select("rep", "line"), "candidates")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("line").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("line").alias("y")), "b")
-    sized = both.select("a", "b", shingles("x", size).alias("x"), shingles("y", size).alias("y")).withColumn("both", F.size(F.array_intersect("x", "y")))
-    return sized.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * percent).select("a", "b")
+    lines = materialize(_lines_in(distinct_lines, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()), "candidates")
+    both = pairs.join(lines.select(F.col("rep").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("rep").alias("b"), F.col("line").alias("y")), "b")
+    hashes = both.select("a", "b", F.expr(hashed("x", size)).alias("x"), F.expr(hashed("y", size)).alias("y"))
+    sets = hashes.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
+    sized = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return sized.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b")
+
+
+def odd_sketches(lines: DataFrame, size: int) -> DataFrame:
+    """``rep`` and ``w0 ...``: parities of how many distinct shingles fall on each of ``64 * SKETCH`` bits."""
+    rows = lines.select("rep", F.expr(hashed("line", size)).alias("h")).select("rep", F.explode_outer(F.expr("array_distinct(h)")).alias("x"))
+    word = lambda k: F.expr(f"bit_xor(if((shiftright(x, 6) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"w{k}")
+    return rows.groupBy("rep").agg(*[word(k) for k in range(SKETCH)])
+
+
+def pairs_across(rest: DataFrame, distinct_lines: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components in mixed buckets that may be similar; see :func:`link_members`."""
+    sketches = odd_sketches(_lines_in(distinct_lines, rest.select("rep").distinct()), size)
+    dealt = materialize(in_blocks(rest).join(sketches, "rep"), "dealt")
+    x, y = dealt.alias("x"), dealt.alias("y")
+    differ = " + ".join(f"bit_count(x.w{k} ^ y.w{k})" for k in range(SKETCH))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "lo", "hi")]
+    meet += [F.expr("x.rep < y.rep and x.component <> y.component and (x.lo = x.hi or x.block <> y.block)"), similar_sizes("x.n", "y.n", percent)]
+    meet += [F.expr(f"({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}")]
+    return x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def mark_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, keep_doc_id, keep_line_no, kept`` of every line that is not blank."""
-    lines = lines_of(docs, id_col, text_col).filter(F.length(F.trim("line")) > 0)
-    digest = F.unhex(F.sha2("line", 256))
-    groups = lines.select(digest.alias("digest"), "line").distinct()
-    distinct_lines = materialize(groups.select(F.monotonically_increasing_id().alias("rep"), "digest", "line"), "lines")
+    lines = lines_of(docs, id_col, text_col).filter(F.col("line").rlike(r"(?U)\S"))
+    digest = F.unhex(F.sha2("line", 256)).alias("digest")
+    # A place as one number, ordered like (document, line number), the null id first: what an aggregate can keep in place.
+    place = F.expr("coalesce(cast(doc_id as decimal(20,0)), -9223372036854775809BD) * 4294967296BD + line_no")
+    classes = lines.select(digest, "line", place.alias("place")).groupBy("digest", "line").agg(F.min("place").alias("first"))
+    distinct_lines = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", "line"), "lines")
     release_shuffles(docs.sparkSession)
-    members = band_keys(distinct_lines.select("rep", "line"), size).repartition("bucket")  # one shuffle for both uses
-    nodes = link_members(members, percent, lambda pairs: confirm(pairs, distinct_lines, size, percent))
-    named = distinct_lines.select("rep", "digest").join(nodes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(lines.select("doc_id", "line_no", digest.alias("digest")).join(named, "digest").drop("digest"), "placed")
-    winners = placed.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    marked = placed.join(winners, "component").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
-    return marked.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", kept.alias("kept"))
+    members = materialize(band_keys(distinct_lines, size), "keys")
+    nodes = link_members(
+        members, percent, lambda pairs: confirm(pairs, distinct_lines, size, percent), lambda rest: pairs_across(rest, distinct_lines, size, percent)
+    )
+    drop_table(members)
+    linked = nodes.join(distinct_lines.select(F.col("rep").alias("node"), "first"), "node")
+    winners = linked.join(linked.groupBy("component").agg(F.min("first").alias("keep")), "component").select(F.col("node").alias("rep"), "keep")
+    kept = materialize(distinct_lines.select("rep", "digest", "first").join(winners, "rep", "left").select("digest", F.coalesce("keep", "first").alias("keep")), "kept")
+    line_no = F.expr("cast(pmod(keep, 4294967296BD) as int)")
+    doc = F.expr("(keep - pmod(keep, 4294967296BD)) / 4294967296BD").cast("decimal(20,0)")
+    marked = lines.select("doc_id", "line_no", digest).join(kept, "digest")
+    marked = marked.select("doc_id", "line_no", F.when(doc >= F.lit(-(2**63)), doc).cast("long").alias("keep_doc_id"), line_no.alias("keep_line_no"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no"))
+    return marked.select("doc_id", "line_no", "keep_doc_id", "keep_line_no", stays.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that don't stay taken out of the text; other columns are unchanged."""
-    gone = mark_lines(docs, size, percent, id_col, text_col).filter("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    gone = mark_lines(docs, size, percent, id_col, text_col).filter("not kept").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("doc")), "left")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    text = F.when(F.col("gone").isNotNull(), F.array_join(left, "\n"))
+    value = lambda i, c: F.coalesce(text, F.col(f"row.c{i}")) if c == text_col else F.col(f"row.c{i}")
+    return joined.select(*[value(i, c).alias(c) for i, c in enumerate(docs.columns)])

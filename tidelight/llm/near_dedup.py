@@ -5,8 +5,8 @@ least in each of ``bands * band_rows`` bins, and empty bins filled by optimal
 densification (each probes other bins in an order of its own, so that borrowed
 values stay independent). Bands of the signature name buckets.
 
-Documents with equal shingle sets are one class; only its smallest id goes on,
-so copies never multiply. In a bucket all members are linked to its smallest
+Documents with equal words are one class (by a 256-bit digest of them); only its
+smallest id goes on, so copies never multiply. In a bucket all members are linked to its smallest
 class alone, a star, so that candidates grow with the bucket and not with its
 square. Candidates are confirmed on the full sets of words. Buckets that then
 still hold several components get their remaining pairs across components, so no
@@ -15,26 +15,29 @@ link between different texts is lost. Confirmed links are joined to components.
 Defined results: a null text counts as empty; empty texts have no shingles and
 are linked with nothing; a text of fewer words than a shingle is one shingle; a
 null id takes no part, its row is returned with a null component and kept; rows
-that repeat an id are each labelled; an empty table gives no rows; other columns
-are ignored by :func:`label_near` and carried by :func:`drop_near`.
+that repeat an id and text are one document and each labelled; rows that repeat an
+id with other texts are documents of their own, compared by their own words, and
+:func:`drop_near` keeps all rows of an id if any of them stays; very long texts are
+compared whole, their sketches end at 65,536 bits; an empty table gives no rows;
+other columns are ignored by :func:`label_near` and carried by :func:`drop_near`.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize, text_or_empty
+from tidelight.llm.common import materialize, one_text_an_id, text_or_empty
 from tidelight.llm.components import connected_components
 from tidelight.llm.words import HASHES, U, mix, ngrams
 
-FEATURES = "doc_id long, n_shingles long, set_digest binary, bands array<long>"
+FEATURES = "doc_id long, n_shingles long, words_digest binary, bands array<long>"
 #: Requests for texts up to so many rows are broadcast (16 bytes each); beyond, the texts are shuffled to them.
 BROADCAST_ROWS = 200_000
 #: Members of a bucket whose remaining pairs may become rows: at most so many for each.
@@ -95,7 +98,7 @@ def shingle_set(text: bytes, size: int) -> set:
 
 
 def features(docs: DataFrame, shingle: int = 2, bands: int = 42, band_rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Shingle count, digest of the shingle set, and band keys of every whole text."""
+    """Shingle count, digest of the words in order, and band keys of every whole text."""
 
     def run(batches):
         for batch in batches:
@@ -103,16 +106,16 @@ def features(docs: DataFrame, shingle: int = 2, bands: int = 42, band_rows: int
                 part = batch.slice(lo, 1024)
                 counts, digests, keys = [], [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
-                    w = HASHES.of(text.lower().split())
-                    s = shingle_hashes(w, shingle)
+                    words = text.lower().split()
+                    s = shingle_hashes(HASHES.of(words), shingle)
                     counts.append(len(s))
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    digests.append(hashlib.blake2b(b" ".join(words), digest_size=32).digest() if words else None)
                     keys.append(band_keys(signature(s, bands * band_rows), bands, band_rows) if len(s) else None)
                 flat = np.concatenate([k for k in keys if k is not None] or [np.empty(0, np.int64)])
                 offsets = np.r_[0, np.cumsum([0 if k is None else bands for k in keys])].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                    ["doc_id", "n_shingles", "set_digest", "bands"],
+                    ["doc_id", "n_shingles", "words_digest", "bands"],
                 )
 
     return text_or_empty(docs, id_col, text_col).mapInArrow(run, FEATURES)
@@ -158,15 +161,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``node, component`` of the members that are linked; ``members``: ``bucket, band, rep`` (an id of a distinct set) and ``n`` (its size).
 
     ``confirmed`` gives those of candidate pairs ``a, b`` that are similar. ``across``
-    gives the similar pairs across components of buckets of more than
-    ``SMALL_BUCKET`` members; without it those pairs become rows too.
+    gets the buckets that hold several components after the stars (``bucket, band,
+    rep, n, component`` and ``size``, the bucket's members) and gives the pairs across
+    components that may be similar, none left out; ``members`` is a written table.
     """
-    centres = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialize(members.join(centres, "bucket").select("bucket", "band", "rep", "n", F.col("c.rep").alias("a"), F.col("c.n").alias("a_n")), "buckets")
+    centres = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("a_n"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    shared = materialize(members.join(centres, "bucket").select("bucket", "band", "rep", "n", "a", "a_n"), "buckets")
     star = shared.filter("rep <> a").filter(similar_sizes("n", "a_n", percent)).select("a", F.col("rep").alias("b")).distinct()
     star = materialize(star, "stars")
     links = materialize(confirmed(star), "confirmed")
@@ -174,21 +178,11 @@ def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFram
 
     # Buckets of several components: the pairs across them that no star has held.
     labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    rest = materialize(labelled.join(mixed, "bucket", "left_semi"), "mixed")
-    sized = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    few = rest.join(sized.filter(F.col("size") <= SMALL_BUCKET), "bucket", "left_semi") if across else rest
-    x, y = few.alias("x"), few.alias("y")
-    cross = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")))
-        .filter(similar_sizes("x.n", "y.n", percent))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    )
-    if across:
-        many = materialize(rest.join(sized.filter(F.col("size") > SMALL_BUCKET), "bucket"), "large")
-        if not many.isEmpty():
-            cross = cross.unionByName(across(many))
-    cross = materialize(cross.distinct().join(star, ["a", "b"], "left_anti"), "cross")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    rest = materialize(labelled.join(mixed.select("bucket", "size"), "bucket"), "mixed")
+    if rest.isEmpty():
+        return nodes
+    cross = materialize(across(rest).distinct().join(star, ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
         more = materialize(confirmed(cross), "confirmed")
         if not more.isEmpty():
@@ -196,66 +190,116 @@ def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFram
     return nodes
 
 
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """Members of buckets dealt to pairs of blocks: adds ``block`` and the pair ``lo, hi``, and drops ``size``.
+
+    Any two members of a bucket meet in one pair of blocks: that of their own
+    blocks. A pair of blocks holds about twice ``BLOCK`` members at most.
+    """
+    dealt = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", "size")
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text from its words' hashes."""
     return np.unique(ngrams(words, min(size, len(words)))) if len(words) else words
 
 
-def pairs_across(many: DataFrame, docs: DataFrame, shingle: int, percent: int, bands: int, band_rows: int) -> DataFrame:
-    """Similar pairs ``a, b`` of different components in large buckets (``bucket, band, rep, component, size``).
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit; about four bits a shingle, a power of two.
 
-    A bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is
-    one task's group, so memory is bounded and no pair becomes a row unless it is
-    similar. Members of different components are compared by their signatures,
-    then by their full sets; a pair is looked at only in the first band it shares.
+    Where two sketches differ, the sets differ: the count of such bits is no more
+    than the size of the symmetric difference. Halves combined by exclusive or are
+    the sketch of half as many bits.
     """
-    reps = materialize(many.select(F.col("rep").alias("doc_id")).distinct(), "reps")
+    bits = 1 << min(16, max(8, (4 * len(shingles)).bit_length()))
+    h = mix(shingles ^ U(0x8EBC6AF09C88C6E3))
+    return np.packbits(np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class OddSketches:
+    """Sketches of several sizes, compared in the smaller size of each pair."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.size = np.array([len(x) for x in sketches])
+        self.at, self.rows = {}, {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            table = np.empty((len(own), size // 8), U)
+            for r, k in enumerate(own.tolist()):
+                x = np.frombuffer(sketches[k], U)
+                table[r] = x if len(sketches[k]) == size else x[: len(x) // 2] ^ x[len(x) // 2 :]
+            self.at[size] = np.full(len(sketches), -1)
+            self.at[size][own] = np.arange(len(own))
+            self.rows[size] = table
+
+    def least_difference(self, i: int, j: np.ndarray) -> np.ndarray:
+        """A lower bound of how many shingles are in one of the sets ``i`` and ``j`` alone."""
+        out = np.zeros(len(j), np.int64)
+        common = np.minimum(self.size[j], self.size[i])
+        for size in np.unique(common).tolist():
+            at = self.at[size]
+            on = np.flatnonzero((common == size) & (at[j] >= 0))
+            if at[i] >= 0 and len(on):
+                out[on] = np.bitwise_count(self.rows[size][at[j[on]]] ^ self.rows[size][at[i]]).sum(1)
+        return out
+
+
+def pairs_across(rest: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components in mixed buckets that may be similar.
+
+    In buckets of up to ``SMALL_BUCKET`` members they are rows of a join. A larger
+    bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is one
+    task's group, so memory is bounded. There a pair becomes a row unless sizes or
+    odd sketches prove it too different, and only in the first band it shares: an
+    earlier bucket that both are in holds the same two components, so it is mixed too.
+    """
+    few = rest.filter(F.col("size") <= SMALL_BUCKET)
+    x, y = few.alias("x"), few.alias("y")
+    rows = (
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & similar_sizes("x.n", "y.n", percent))
+        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    )
+    many = rest.filter(F.col("size") > SMALL_BUCKET)
+    if many.isEmpty():
+        return rows
+    reps = materialize(many.select("rep").distinct(), "reps")
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
 
-    def sets(batches):
+    def sketches(batches):
         for batch in batches:
-            found = [shingle_hashes(HASHES.of(t.lower().split()), shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            sketches = [(signature(s, bands * band_rows) & U(0xFFFF)).astype(np.uint16).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "sketch", "grams"])
+            found = [odd_sketch(shingle_hashes(HASHES.of(t.lower().split()), shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "sketch"])
 
-    held = materialize(docs.join(reps, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "rep long, sketch binary, grams binary"), "sets")
-    dealt = many.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "band", "rep", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").select("rep", "text")
+    held = texts.mapInArrow(sketches, "rep long, sketch binary").dropDuplicates(["rep"])
+    held = materialize(held.join(classes.select("rep", "bands"), "rep"), "sketches")
+    dealt = in_blocks(many)
 
     def compare(table):
-        rep, component, block = (table.column(c).to_numpy() for c in ("rep", "component", "block"))
-        band, (lo, hi) = table.column("band")[0].as_py(), (table.column(c)[0].as_py() for c in ("lo", "hi"))
-        grams = [np.frombuffer(x.as_py(), U) for x in table.column("grams")]
-        size = np.array([len(g) for g in grams])
-        sketch = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in table.column("sketch")])
+        rep, component, block, size = (table.column(c).to_numpy() for c in ("rep", "component", "block", "n"))
+        band, apart = table.column("band")[0].as_py(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        odd = OddSketches(table.column("sketch").to_pylist())
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[:, :band]
         names, where, count = np.unique(component, return_inverse=True, return_counts=True)
         passive = where == count.argmax()  # of the largest component: compared only with the rest
         order = np.arange(len(rep))
-        found: list[tuple[int, int]] = []
+        found: list[np.ndarray] = []
         for i in np.flatnonzero(~passive).tolist():
             near = (component != component[i]) & (passive | (order > i))
             near &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            if lo != hi:
+            if apart:
                 near &= block != block[i]
             j = np.flatnonzero(near)
-            same = sketch[j] == sketch[i]
-            slack = 5 * np.sqrt(0.25 / np.minimum(np.minimum(size[j], size[i]), sketch.shape[1]))
-            likely = same.mean(1) >= percent / 100 - slack
-            j, same = j[likely], same[likely]
-            j = j[same.reshape(len(j), bands, band_rows).all(2)[:, :band].sum(1) == 0]
-            if not len(j):
-                continue
-            flat = np.concatenate([grams[k] for k in j])
-            own = grams[i]
-            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(size[j])[:-1]])
-            for k in j[100 * both >= percent * (size[j] + size[i] - both)].tolist():
-                found.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
-        a, b = zip(*found, strict=True) if found else ([], [])
+            if len(j):
+                j = j[(100 + percent) * odd.least_difference(i, j) <= (100 - percent) * (size[j] + size[i])]
+                j = j[~(bands[j] == bands[i]).any(1)]
+                found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
+        a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(held, "rep").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+    return rows.unionByName(dealt.join(held, "rep").groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long"))
 
 
 def label_near(
@@ -267,24 +311,30 @@ def label_near(
     shingle sets. With 42 bands of 6 a pair of similarity 0.8 shares a bucket
     with probability 1 - 3e-6, any of more with more.
     """
-    texts = text_or_empty(docs, id_col, text_col)
-    feats = materialize(features(docs, shingle, bands, band_rows, id_col, text_col), "features")
+    texts, names = one_text_an_id(text_or_empty(docs, id_col, text_col))
+    feats = materialize(features(texts, shingle, bands, band_rows), "features")
     sets = feats.filter("doc_id is not null and n_shingles > 0")
-    classes = sets.groupBy("set_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
-    classes = materialize(classes.select("set_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
+    classes = sets.groupBy("words_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
+    classes = materialize(classes.select("words_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
     members = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n")
-    nodes = link_members(members, percent, lambda pairs: confirm(pairs, texts, shingle, percent), lambda many: pairs_across(many, texts, shingle, percent, bands, band_rows))
+    nodes = link_members(members, percent, lambda pairs: confirm(pairs, texts, shingle, percent), lambda rest: pairs_across(rest, texts, classes, shingle, percent))
 
-    named = classes.select("set_digest", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("set_digest", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("words_digest", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("component", "rep").alias("component_id"))
     plain = feats.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest").select("doc_id", "n_shingles", "component_id").unionByName(plain)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = sets.select("doc_id", "n_shingles", "words_digest").join(named, "words_digest").select("doc_id", "n_shingles", "component_id").unionByName(plain)
+    if names is not None:
+        for c in ("doc_id", "component_id"):
+            out = out.join(names.select(F.col("key").alias(c), F.col("named").alias("_" + c)), c, "left").drop(c).withColumnRenamed("_" + c, c)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
     labels = label_near(docs, shingle, percent, id_col=id_col, text_col=text_col, **kw)
-    gone = materialize(labels.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = labels.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select(F.col("doc_id").alias("gone"))
+    gone = materialize(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    stay = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return stay.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
