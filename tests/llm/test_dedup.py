@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tidelight.llm import components, exact_dedup, line_dedup, near_dedup, queries, substring_dedup
@@ -206,11 +207,6 @@ def test_odd_sketches_bound_the_difference():
         assert all(d <= len(np.setxor1d(sets[i], x)) for d, x in zip(least, sets, strict=True))
 
 
-def test_lines_stay_in_the_jvm(spark, sf):
-    plan = queries.op2_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
-
-
 def test_substrings(spark, sf, docs, odd):
     assert rows(queries.op9_substring_dedup(spark, sf), *CUT) == brute.repeats(docs)
     assert rows(substring_dedup.mark_repeats(odd), *CUT) == brute.repeats(ODD)
@@ -232,6 +228,37 @@ def test_substring_cut_leaves_the_kept_words(spark, docs):
     assert digest == {(i, h) for i, _, _, h in brute.repeats(docs)}
 
 
+def test_substrings_of_ids_that_repeat(spark):
+    """Rows that repeat an id with other texts keep their own words; equal rows share their fate."""
+    one, two = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+    short = " ".join(f"c{k}" for k in range(50))
+    made = [(1, one), (5, one), (5, short), (5, short), (5, "x " + two[:150]), (6, two)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    n_two = len(two[:150].split())
+    got = sorted(tuple(r)[:3] for r in substring_dedup.mark_repeats(d).collect())
+    assert got[:2] == [(1, 100, 0), (5, 50, 0)] and (5, 100, 100) in got and got.count((5, 50, 0)) == 2
+    assert (6, 100, n_two) in got and (5, n_two + 1, 0) in got
+    left = substring_dedup.cut_repeats(d.withColumn("names", F.lit(1)))
+    assert left.columns == ["doc_id", "text", "names"] and left.filter("text = ''").count() == 1
+
+
+def test_history_in_a_carried_index(spark):
+    """A later batch loses what an index from earlier calls holds, whatever the ids."""
+    text = " ".join(f"w{k}" for k in range(60))
+    new = " ".join(f"n{k}" for k in range(40))
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark, buckets=2)
+    ask = lambda d: {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.mark_repeats(d, index=index).collect()}
+    tables = spark.catalog.listTables
+    before = len(tables())
+    assert ask(frame((9, text))) == {9: (60, 0)}
+    assert ask(frame((2, "x " + text), (3, text), (4, new))) == {2: (61, 60), 3: (60, 60), 4: (40, 0)}
+    assert ask(frame((1, new + " y " + new), (2, "other"))) == {1: (81, 80), 2: (1, 0)}
+    index.close()
+    assert len(tables()) == before and ask(frame((1, text))) == {1: (60, 0)}
+    index.close()
+
+
 def test_index_in_batches_compacts(spark, docs):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     index = substring_dedup.FingerprintIndex(spark, buckets=3)

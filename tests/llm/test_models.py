@@ -55,7 +55,6 @@ def test_bpe_random_bytes():
 
 def check_packing(rows, docs):
     tok = Tokenizer.from_file(GPT)
-    tok.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -84,6 +83,14 @@ def test_packing(spark, sf, texts, odd):
     assert packing.pack_documents(odd.filter("false"), GPT, P.PATTERN).count() == 0
 
 
+def test_packing_spreads_copies(spark):
+    """Copies of one row are dealt over all groups."""
+    d = spark.createDataFrame([(7, "<|endoftext|>a b c<|endoftext|>") for _ in range(600)], "doc_id long, text string")
+    rows = packing.pack_documents(d, GPT, P.PATTERN, group_pieces=100, capacity=64).collect()
+    groups = np.bincount([r["sequence_id"] // packing.GROUP_STRIDE for r in rows])
+    assert len(rows) == 600 and len(groups) == 6 and groups.max() < 150 and {r["doc_tokens"] for r in rows} == {6}
+
+
 def test_packed_sequences_hold_the_ids(spark, odd):
     placed = packing.pack_documents(odd.dropDuplicates(["doc_id"]), GPT, P.PATTERN, with_ids=True).cache()
     made = packing.sequences(placed).collect()
@@ -154,6 +161,29 @@ def test_neighbours_recall_and_odd_vectors(spark, sf):
     assert ann.search(d.filter("false"), lambda i: i == 0).count() == 0
 
 
+def test_neighbours_of_repeated_ids_huge_and_mixed_vectors(spark):
+    """Repeated ids stand once, by their least vector; lengths don't mix; sizes don't overflow."""
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    find = lambda rows, **kw: [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, **kw).orderBy("query_id", "rank").collect()]
+    same = [(0, east)] + [(1, east)] * 7 + [(2, east), (3, east), (4, north)]
+    assert find(same) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4)]
+    turned = [(0, east)] + [(1, [1.0, 0.1 * k]) for k in range(7)] + [(2, [1.0, 0.05]), (3, [1.0, 2.0]), (4, north)]
+    assert find(turned) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4)]
+    huge = [(0, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e300, 1e299]), (3, [1.0, 2.0, 3.0]), (50, [1.0, 2.0, 2.0]), (100, [3.0]), (4, [])]
+    assert find(huge) == [(0, 1, 2), (0, 2, 1), (50, 1, 3)]
+    r = np.random.default_rng(5)
+    v = r.standard_normal((700, 16))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    assert find(rows, query_block=3) == find(rows)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    want = []
+    for q in range(0, 700, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        want += [(q, n + 1, int(c)) for n, c in enumerate(np.argsort(-s)[:5])]
+    assert len(set(find(rows)) & set(want)) >= 0.95 * len(want)
+
+
 def page(title, body):
     return f"<html><head><title>x</title></head><body>{body}</body></html>"
 
@@ -179,10 +209,67 @@ def test_page_articles(spark, sf):
     import html
     import re
 
+    want = {}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         inside = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", inside))
-        assert html_text.split_page(r["html"])[0] == [x for x in blocks if x]
+        want[r["page_id"]] = "\n".join(x for x in blocks if x)
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op6_html(spark, sf).collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+
+
+def plain_texts(pages):
+    """Brute force: every page against all pages of its host, nearest path first."""
+    known = []
+    for i, url, page in pages:
+        host, path = html_text.path_of(url)
+        known.append((i, host, path, *html_text.split_page(page or "")))
+    digest = lambda lines, kinds: hashlib.blake2b(repr((list(kinds), list(lines))).encode(), digest_size=16).digest()
+    order = {(h, min(p for _, g, p, l, k in known if (g, l, k) == (h, lines, kinds)), tuple(lines), tuple(kinds)) for _, h, _, lines, kinds in known}
+    order = sorted(order, key=lambda x: (x[0], x[1], digest(x[2], x[3])))
+    out = {}
+    for i, host, _, lines, kinds in known:
+        at = next(n for n, x in enumerate(order) if x[0] == host and x[2:] == (tuple(lines), tuple(kinds)))
+        path = order[at][1]
+        near = [n for n, x in enumerate(order) if host and x[0] == host and x[1] != path]
+        common = lambda x: next((k for k, (a, b) in enumerate(zip(x, path)) if a != b), min(len(x), len(path)))  # noqa: B023, B905, E731
+        near.sort(key=lambda n: (-common(order[n][1]), n > at, abs(n - at)))  # noqa: B023
+        shared, total = [], sum(len(x) for x, k in zip(lines, kinds, strict=True) if k) or 1
+        for n in near:
+            both = html_text.common_lines(lines, list(order[n][2]))
+            if sum(len(lines[k]) for k in both if kinds[k]) <= 0.8 * total:
+                shared = both
+                break
+        out[i] = "\n".join(x for k, x in enumerate(lines) if kinds[k] == 2 or kinds[k] == 1 and k not in shared)
+    return out
+
+
+def test_pages_of_a_large_host(spark, monkeypatch):
+    """2,000 pages of a host, no article: what pairs of near URLs share goes, wherever blocks are cut."""
+    body = lambda k, side: f"<div>Site line</div><div>Section {k} line</div><p>Own words of page {k} {side}, told at some length here.</p>"
+    pages = [(2 * k + s, f"http://big.example/a{k:04}/{'xy'[s]}", page("", body(k, "xy"[s]))) for k in range(1000) for s in (0, 1)]
+    monkeypatch.setattr(html_text, "BLOCK_PAGES", 300)
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(d.repartition(7)).collect()}
+    assert got == {2 * k + s: f"Own words of page {k} {'xy'[s]}, told at some length here." for k in range(1000) for s in (0, 1)}
+
+
+def test_pages_without_article_equal_brute_force(spark, monkeypatch):
+    r = random.Random(7)
+    line = lambda n: " ".join(r.choice(("sea", "hill", "boat", "rain", "road", "town")) for _ in range(n))
+    menus = [[f"<div>{line(3)} {k}</div>" for k in range(6)] for _ in range(3)]
+    pages = []
+    for k in range(160):
+        menu = menus[k % 3]
+        own = "".join(f"<p>{line(9)} {k}.{j}</p>" for j in range(r.randrange(1, 6)))
+        if k % 5 == 0:
+            own = f"<main><p>{line(4)}</p>{menu[0]}{own}</main>"
+        url = f"http://{'ab'[k % 2]}.example/{r.choice('pqr')}/{r.choice('xyz')}{k % 40}" + r.choice(("", "", f"?id={k}"))
+        pages.append((k, url, page("", menu[1] + menu[2] + own + menu[r.randrange(6)] + "<footer>f</footer>")))
+    pages += [(1000 + k, f"http://a.example/p/x1?copy={k}", pages[4][2]) for k in range(50)] + [(2000, None, pages[3][2]), (2001, "http://a.example/p", None)]
+    monkeypatch.setattr(html_text, "BLOCK_PAGES", 40)
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(d).collect()} == plain_texts(pages)
 
 
 def test_longest_common_lines():
@@ -198,6 +285,31 @@ def test_longest_common_lines():
         assert len(at) == best[-1][-1] and all(any(a[k] == y for y in rest) for k in at)
 
 
+def test_token_query(spark, sf):
+    """Estimates, a revision, deletes, inserts and repeated batches leave the plain totals of all documents."""
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for v in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+            enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path(f"{v}.tiktoken")), special_tokens={})
+            n, tokens = want.get((r["source"], r["lang"], v), (0, 0))
+            want[r["source"], r["lang"], v] = n + 1, tokens + len(enc.encode_ordinary(r["text"] or ""))
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op4_token_counts(spark, sf).collect()}
+    assert got == want
+
+
+def test_token_batches_are_applied_once(spark, odd, tmp_path):
+    """A batch that another driver commits in the meantime is not applied again; names may hold any character."""
+    counts = token_counts.signed(token_counts.count_tokens(odd, {"v": (MULTI, P.PATTERN)}), 1)
+    store = token_counts.TokenTotals(spark, f"file://{tmp_path}/t")
+    late = token_counts.TokenTotals(spark, f"file://{tmp_path}/t")
+    late._committed = lambda: {}
+    assert store.commit("day=1/a b%", counts) and not late.commit("day=1/a b%", counts)
+    assert store.commit("day=1/a", counts)
+    assert [r["n_docs"] for r in store.totals().collect()] == [2 * len(ODD)]
+    store.compact("f/1")
+    assert not store.commit("day=1/a b%", counts) and [r["n_docs"] for r in store.totals().collect()] == [2 * len(ODD)]
+
+
 def test_token_totals(spark, odd, tmp_path):
     kinds = {"v": (MULTI, P.PATTERN)}
     counts = token_counts.count_tokens(odd, kinds).cache()

@@ -1,24 +1,24 @@
-"""Fuzzy deduplication of lines, in DataFrame operations only.
-
-A line's set is its distinct shingles of characters (UTF-16 units), hashed to 64 bits. Equal lines
-are one class. Hashes below a threshold are the set's sample; the threshold halves
-with each level, and the level is set by the number of distinct shingles, so that a
-line that repeats itself is sampled like any other. Sizes that similar lines may
-have on the other side of a level get the keys of both. In each of ``ZONES`` ranges
-of the sample the first hash and the ``ROWS - 1`` next ones make a band's key.
-
-Sets of up to ``SMALL`` shingles have keys that miss no pair of similarity 0.8:
-sets of sizes n and m that are so similar differ in at most (n + m) / 9 shingles, so
-of one zone more at least one is equal in both. A zone that is empty in both tells
-nothing; sets with one also have their least hashes as keys (the prefix in which any
-two such sets meet). Larger sets have the bands alone; the README states their recall.
-
-A bucket's members are linked to its smallest alone; candidates are confirmed by
-the exact Jaccard similarity of the full sets. Buckets that then hold several
-components get their remaining pairs, in blocks, by a join that makes a row of a
-pair only if sizes and odd sketches (parities of the shingles on each of 512 bits,
-which bound the symmetric difference from below) allow the similarity. One line of
-each component stays.
+"""Fuzzy deduplication of lines by MinHash.
+
+A line's set is its distinct character shingles, hashed to 64 bits. Equal lines are
+one class. Signatures are one-permutation MinHashes of the sets, with the densification
+of :mod:`near_dedup`; ``BANDS`` bands of ``ROWS`` bins name buckets, in which a pair of
+similarity 0.8 meets with probability 1 - 2e-4. What a line repeats changes nothing.
+
+Sets of up to ``SMALL`` shingles have keys that miss no pair of similarity 0.8: sets
+of sizes n and m that are so similar differ in at most (n + m) / 9 shingles, so of one
+zone more at least one is equal in both. A zone that is empty in both tells nothing;
+sets with one also have their least hashes as keys (the prefix in which any two such
+sets meet).
+
+A bucket's members are linked to its smallest alone; candidates are confirmed by the
+exact Jaccard similarity of the full sets of strings. Buckets that then hold several
+components get their remaining pairs as for documents: in blocks, and only such as
+sizes and odd sketches don't prove too different. One line of each component stays.
+
+Shingles are hashed in Arrow batches: the JVM-only form of this operator took several
+times the CPU time that is allowed (figures in the README). The rest are DataFrame
+operations.
 
 Defined results: a null text has no lines; lines that are empty or all white space
 (of any kind) are not compared and all stay; a line shorter than a shingle is one
@@ -30,74 +30,131 @@ other columns are ignored by :func:`mark_lines` and carried by :func:`drop_lines
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import drop_table, materialize, release_shuffles
-from tidelight.llm.near_dedup import BROADCAST_ROWS, in_blocks, link_members, similar_sizes
+from tidelight.llm.common import materialize, release_shuffles, small_batches
+from tidelight.llm.near_dedup import confirm, link_members, pairs_across, probes
+from tidelight.llm.words import U, mix
 
-ZONES, ROWS, SAMPLE = 10, 3, 24
-#: Least hashes that are looked at for bands. A sample has 48 of them on average at most; more than this are one in thousands.
-PREFIX = 72
+BANDS, ROWS = 12, 3
 #: A pair whose smaller set has up to so many shingles is found by keys that miss none.
 SMALL = 24
-#: Words of 64 bits of an odd sketch.
-SKETCH = 8
-
-
-def hashed(line: str, size: int) -> str:
-    """SQL text of a line's hashed shingles of ``size`` UTF-16 units; in that encoding each one is a slice of bytes."""
-    grams = f"transform(sequence(1, greatest(octet_length(u) - {2 * size}, 0) + 1, 2), i -> xxhash64(substring(u, i, {2 * size})))"
-    return f"transform(array(encode({line}, 'UTF-16BE')), u -> {grams})[0]"
-
-
-def shingles(line: str, size: int) -> Column:
-    """A line's distinct hashed shingles."""
-    return F.expr(f"array_distinct({hashed(line, size)})")
-
-
-def _level(n: str) -> str:
-    return f"greatest(0, cast(floor(log2({n} / {SAMPLE})) as int))"
-
+EMPTY = np.iinfo(U).max
+#: Bits of a hash that tell a line's shingles apart; the others of 64 number the lines of a batch.
+HASH_BITS = 52
+ODD = U(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all lines, and the line of each; a line shorter than ``size`` is one, filled up with zeros."""
+    text = "".join(lines)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin = np.r_[0, np.cumsum(lengths + size)]
+    padded = np.zeros(begin[-1] + size, U)
+    padded[np.arange(len(codes)) + np.repeat(size * np.arange(len(lines)), lengths)] = codes
+    h = mix(padded * ODD)
+    total = h[: len(h) - size].copy()
+    for k in range(1, size):
+        total *= ODD
+        total += h[k : k + len(total)]
+    count = np.maximum(1, lengths - size + 1)
+    owner = np.repeat(np.arange(len(lines)), count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
+    return mix(total[at]), owner
+
+
+def signatures(owner: np.ndarray, marks: np.ndarray, n_lines: int) -> np.ndarray:
+    """One-permutation MinHash of every line, a row each, densified; from the lines' distinct hashes of ``HASH_BITS`` bits in order."""
+    bins = BANDS * ROWS
+    place = owner * bins + ((marks >> U(HASH_BITS - 32)) * U(bins) >> U(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    sig = np.full(n_lines * bins, EMPTY)
+    sig[place[first]] = marks[first]
+    sig = sig.reshape(n_lines, bins)
+    full = sig != EMPTY
+    out = sig.copy()
+    open_ = np.flatnonzero(~full.all(1))
+    for probe in probes(bins):
+        if not len(open_):
+            break
+        own = out[open_]
+        take = (own == EMPTY) & full[open_][:, probe]
+        own[take] = sig[open_][:, probe][take]
+        out[open_] = own
+        open_ = open_[(own == EMPTY).any(1)]
+    for k in open_.tolist():  # very few full bins: the next full one
+        at = np.flatnonzero(full[k])
+        out[k] = sig[k, at[np.searchsorted(at, np.arange(bins)) % len(at)]]
+    return out
+
+
+def sure_keys(s: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set with which any set of similarity 0.8 shares one, where the smaller has up to ``SMALL`` shingles."""
+    n = len(s)
+    least = (4 * n + 4) // 5
+    most = SMALL if n > SMALL else 5 * n // 4
+    out, gap = [], False
+    for zones in range((n + least) // 9 + 1, (n + most) // 9 + 2):
+        zone = ((s >> U(40)) * U(zones) >> U(24)).astype(np.int64)
+        ends = np.searchsorted(zone, np.arange(zones + 1))
+        for k in range(zones):
+            key = U(zones * 64 + k + 1)
+            for x in s[ends[k] : ends[k + 1]]:
+                key = mix(key * ODD + x)
+            if ends[k + 1] > ends[k]:
+                out.append(key)
+            gap |= bool(ends[k + 1] == ends[k])
+    return np.array(out + [mix(x ^ U(0xD6E8FEB86659FD93)) for x in s[: n - least + 1]] * gap, U)
+
+
+def line_keys(lines: list[str], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many distinct shingles each line has, and its buckets."""
+    h, owner = gram_hashes(lines, size)
+    marks = np.sort((owner.astype(U) << U(HASH_BITS)) | (h >> U(64 - HASH_BITS)))
+    marks = marks[np.r_[True, marks[1:] != marks[:-1]]]
+    line, marks = (marks >> U(HASH_BITS)).astype(np.int64), marks & U((1 << HASH_BITS) - 1)
+    n = np.bincount(line, minlength=len(lines))
+    sig = signatures(line, marks, len(lines)).reshape(len(lines), BANDS, ROWS)
+    bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), sig.shape[:2])
+    for k in range(ROWS):
+        bands = mix(bands * ODD + sig[:, :, k])
+    keys = list(bands)
+    ends = np.searchsorted(owner, np.arange(len(lines) + 1))
+    for k in np.flatnonzero((4 * n + 4) // 5 <= SMALL).tolist():
+        s = np.unique(h[ends[k] : ends[k + 1]])
+        keys[k] = sure_keys(s) if len(s) <= SMALL else np.concatenate([sure_keys(s), keys[k]])
+    return n, keys
 
-def _zone(x: str, level: str) -> str:
-    """The zone of a hash among the sample of a level; ``ZONES`` or more outside of it. Zones ascend with the hash."""
-    return f"shiftright(shiftrightunsigned({x} ^ shiftleft(1L, 63), 54 - {level}) * {ZONES}, 10)"
 
+def band_keys(lines: DataFrame, size: int) -> DataFrame:
+    """``bucket, rep, n`` from ``rep, line``; ``n`` is the number of distinct shingles."""
 
-def _sure_keys(s: str, n: str) -> str:
-    """Keys of a sorted set with which any set of similarity 0.8 shares one, where the smaller has up to ``SMALL`` shingles."""
-    zone = lambda x: f"((shiftright({x}, 56) + 128) * z div 256)"
-    least = f"(4 * {n} + 4) div 5"
-    most = f"if({n} > {SMALL}, {SMALL}L, 5 * {n} div 4)"
-    zones = f"sequence(({n} + {least}) div 9 + 1, ({n} + {most}) div 9 + 1)"
-    parts = f"flatten(transform({zones}, z -> transform(sequence(0L, z - 1), k -> struct(z, k, filter({s}, x -> {zone('x')} = k) as part))))"
-    named = "transform(filter(p, y -> size(y.part) > 0), y -> xxhash64('zone', y.z, y.k, y.part))"
-    prefix = f"transform(slice({s}, 1, cast({n} - {least} + 1 as int)), x -> xxhash64('least', x))"
-    return f"transform(array({parts}), p -> if(exists(p, y -> size(y.part) = 0), concat({named}, {prefix}), {named}))[0]"
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                n, keys = line_keys(part.column(1).to_pylist(), size)
+                count = np.fromiter(map(len, keys), np.int64, len(keys))
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), pa.array(np.repeat(part.column(0).to_numpy(), count)), pa.array(np.repeat(n, count))], ["bucket", "rep", "n"]
+                )
 
+    return small_batches(lines).select("rep", "line").mapInArrow(run, "bucket long, rep long, n long")
 
-def band_keys(lines: DataFrame, size: int) -> DataFrame:
-    """``bucket, band, rep, n`` from ``rep, line``; ``n`` is the number of distinct shingles.
 
-    Shingles are hashed as one array and sorted; of that only the least hashes go
-    on. The generators are outer ones: for others the optimizer adds a filter on
-    the array's size, and computes the array twice.
-    """
-    sets = lines.select("rep", F.expr(hashed("line", size)).alias("h")).select("rep", F.expr("array_distinct(h)").alias("h"))
-    least = sets.select("rep", F.size("h").cast("long").alias("n"), F.expr(f"slice(sort_array(h), 1, {PREFIX})").alias("s"))
-    levels = least.withColumn("low", F.expr(_level("n"))).withColumn("high", F.expr(_level("n * 1.25D")))
-    run = ", ".join(f"s[p + {k}]" for k in range(-1, ROWS - 1))
+def full_set(line: bytes, size: int) -> set:
+    """A line's distinct shingles, in full."""
+    x = line.decode()
+    return {x[k : k + size] for k in range(max(1, len(x) - size + 1))}
 
-    def bands(level: str) -> str:
-        places = f"transform(sequence(0L, {ZONES - 1}L), z -> cast(array_position(q, z) as int))"
-        keys = f"transform({places}, p -> if(p > 0 and p + {ROWS - 1} <= size(s), xxhash64({level}, {run}), null))"
-        return f"transform(array(transform(s, x -> {_zone('x', level)})), q -> {keys})[0]"
 
-    sure = f"if((4 * n + 4) div 5 <= {SMALL}, {_sure_keys('s', 'n')}, array())"
-    keys = f"concat({sure}, if(n > {SMALL}, {bands('low')}, array()), if(n > {SMALL} and low < high, {bands('high')}, array()))"
-    buckets = levels.select("rep", "n", F.expr(keys).alias("keys")).select("rep", "n", F.explode_outer("keys").alias("bucket"))
-    return buckets.filter("bucket is not null").select("bucket", F.lit(0).alias("band"), "rep", "n")
+def set_hashes(line: bytes, size: int) -> np.ndarray:
+    return np.unique(gram_hashes([line.decode()], size)[0])
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,58 +162,26 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
-def _lines_in(distinct_lines: DataFrame, reps: DataFrame) -> DataFrame:
-    """``rep, line`` of the lines that ``reps`` (``rep``, distinct) names."""
-    reps = materialize(reps, "reps")
-    return distinct_lines.select("rep", "line").join(F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps, "rep", "left_semi")
-
-
-def confirm(pairs: DataFrame, distinct_lines: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar."""
-    lines = materialize(_lines_in(distinct_lines, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()), "candidates")
-    both = pairs.join(lines.select(F.col("rep").alias("a"), F.col("line").alias("x")), "a").join(lines.select(F.col("rep").alias("b"), F.col("line").alias("y")), "b")
-    hashes = both.select("a", "b", F.expr(hashed("x", size)).alias("x"), F.expr(hashed("y", size)).alias("y"))
-    sets = hashes.select("a", "b", F.array_distinct("x").alias("x"), F.array_distinct("y").alias("y"))
-    sized = sets.select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return sized.filter(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent).select("a", "b")
-
-
-def odd_sketches(lines: DataFrame, size: int) -> DataFrame:
-    """``rep`` and ``w0 ...``: parities of how many distinct shingles fall on each of ``64 * SKETCH`` bits."""
-    rows = lines.select("rep", F.expr(hashed("line", size)).alias("h")).select("rep", F.explode_outer(F.expr("array_distinct(h)")).alias("x"))
-    word = lambda k: F.expr(f"bit_xor(if((shiftright(x, 6) & {SKETCH - 1}) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))").alias(f"w{k}")
-    return rows.groupBy("rep").agg(*[word(k) for k in range(SKETCH)])
-
-
-def pairs_across(rest: DataFrame, distinct_lines: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components in mixed buckets that may be similar; see :func:`link_members`."""
-    sketches = odd_sketches(_lines_in(distinct_lines, rest.select("rep").distinct()), size)
-    dealt = materialize(in_blocks(rest).join(sketches, "rep"), "dealt")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    differ = " + ".join(f"bit_count(x.w{k} ^ y.w{k})" for k in range(SKETCH))
-    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "lo", "hi")]
-    meet += [F.expr("x.rep < y.rep and x.component <> y.component and (x.lo = x.hi or x.block <> y.block)"), similar_sizes("x.n", "y.n", percent)]
-    meet += [F.expr(f"({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}")]
-    return x.join(y, meet).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-
 def mark_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line_no, keep_doc_id, keep_line_no, kept`` of every line that is not blank."""
     lines = lines_of(docs, id_col, text_col).filter(F.col("line").rlike(r"(?U)\S"))
-    digest = F.unhex(F.sha2("line", 256)).alias("digest")
     # A place as one number, ordered like (document, line number), the null id first: what an aggregate can keep in place.
     place = F.expr("coalesce(cast(doc_id as decimal(20,0)), -9223372036854775809BD) * 4294967296BD + line_no")
-    classes = lines.select(digest, "line", place.alias("place")).groupBy("digest", "line").agg(F.min("place").alias("first"))
-    distinct_lines = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", "line"), "lines")
+    classes = lines.select("line", place.alias("place")).groupBy("line").agg(F.min("place").alias("first"))
+    distinct_lines = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "first", "line"), "lines")
     release_shuffles(docs.sparkSession)
-    members = materialize(band_keys(distinct_lines, size), "keys")
+    texts = distinct_lines.select(F.col("rep").alias("doc_id"), F.col("line").alias("text"))
     nodes = link_members(
-        members, percent, lambda pairs: confirm(pairs, distinct_lines, size, percent), lambda rest: pairs_across(rest, distinct_lines, size, percent)
+        band_keys(distinct_lines, size),
+        percent,
+        lambda pairs: confirm(pairs, texts, lambda x: full_set(x, size), percent),
+        lambda rest: pairs_across(rest, texts, lambda x: set_hashes(x, size), percent),
     )
-    drop_table(members)
+    release_shuffles(docs.sparkSession)
     linked = nodes.join(distinct_lines.select(F.col("rep").alias("node"), "first"), "node")
     winners = linked.join(linked.groupBy("component").agg(F.min("first").alias("keep")), "component").select(F.col("node").alias("rep"), "keep")
-    kept = materialize(distinct_lines.select("rep", "digest", "first").join(winners, "rep", "left").select("digest", F.coalesce("keep", "first").alias("keep")), "kept")
+    digest = F.unhex(F.sha2("line", 256)).alias("digest")
+    kept = materialize(distinct_lines.select("rep", digest, "first").join(winners, "rep", "left").select("digest", F.coalesce("keep", "first").alias("keep")), "kept")
     line_no = F.expr("cast(pmod(keep, 4294967296BD) as int)")
     doc = F.expr("(keep - pmod(keep, 4294967296BD)) / 4294967296BD").cast("decimal(20,0)")
     marked = lines.select("doc_id", "line_no", digest).join(kept, "digest")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelight.llm.common import materialize, one_text_an_id, text_or_empty
+from tidelight.llm.common import materialize, one_text_an_id, release_shuffles, text_or_empty
 from tidelight.llm.components import connected_components
 from tidelight.llm.words import HASHES, U, mix, ngrams
 
@@ -49,7 +49,7 @@ STAR_ROWS = 512
 
 
 @functools.lru_cache(maxsize=4)
-def _probes(bins: int, tries: int = 256) -> np.ndarray:
+def probes(bins: int, tries: int = 256) -> np.ndarray:
     """For each bin the bins it borrows from, in order."""
     at = np.arange(bins, dtype=U)[None, :] + (np.arange(1, tries + 1, dtype=U) << U(32))[:, None]
     return (mix(mix(at)) % U(bins)).astype(np.int64)
@@ -69,7 +69,7 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     if len(full) == 1:
         out[left] = least[0]
         return out
-    for probe in _probes(bins):
+    for probe in probes(bins):
         if not len(left):
             break
         source = probe[left]
@@ -126,8 +126,9 @@ def similar_sizes(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets are similar; ``docs`` is ``doc_id, text``.
+def confirm(pairs: DataFrame, docs: DataFrame, full_set: Callable[[bytes], set], percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose full shingle sets are similar; ``docs`` is ``doc_id, text``,
+    ``full_set`` gives the set of a text.
 
     A centre ``a`` of many pairs is copied for every ``STAR_ROWS`` of its pairs,
     and each copy's pairs stream past it.
@@ -147,7 +148,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
             centres, copies, roles, ids = (batch.column(k).to_pylist() for k in (0, 1, 2, 3))
             texts = batch.column(4).cast(pa.binary())
             for k, c in enumerate(centres):
-                own = shingle_set(texts[k].as_py(), shingle)
+                own = full_set(texts[k].as_py())
                 if not roles[k]:
                     at, held = (c, copies[k]), own
                 elif at == (c, copies[k]):
@@ -162,22 +163,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
 
 
 def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` of the members that are linked; ``members``: ``bucket, band, rep`` (an id of a distinct set) and ``n`` (its size).
+    """``node, component`` of the members that are linked; ``members``: ``bucket, rep`` (an id of a distinct set) and ``n`` (its size).
 
     ``confirmed`` gives those of candidate pairs ``a, b`` that are similar. ``across``
-    gets the buckets that hold several components after the stars (``bucket, band,
-    rep, n, component`` and ``size``, the bucket's members) and gives the pairs across
-    components that may be similar, none left out; ``members`` is a written table.
+    gets the buckets that hold several components after the stars (``bucket, rep, n,
+    component`` and ``size``, the bucket's members) and gives the pairs across
+    components that may be similar, none left out. ``members`` is computed twice.
     """
-    centres = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("a_n"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    shared = materialize(members.join(centres, "bucket").select("bucket", "band", "rep", "n", "a", "a_n"), "buckets")
+    centres = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").drop("z")
+    shared = materialize(members.join(centres, "bucket").select("bucket", "rep", "n", "a"), "buckets")
+    release_shuffles(members.sparkSession)
+    shared = shared.join(shared.filter("rep = a").select("bucket", F.col("n").alias("a_n")), "bucket")
     star = shared.filter("rep <> a").filter(similar_sizes("n", "a_n", percent)).select("a", F.col("rep").alias("b")).distinct()
     star = materialize(star, "stars")
     links = materialize(confirmed(star), "confirmed")
     nodes = connected_components(links)
 
     # Buckets of several components: the pairs across them that no star has held.
-    labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
     rest = materialize(labelled.join(mixed.select("bucket", "size"), "bucket"), "mixed")
     if rest.isEmpty():
@@ -246,14 +249,14 @@ class OddSketches:
         return out
 
 
-def pairs_across(rest: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+def pairs_across(rest: DataFrame, docs: DataFrame, hashes: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
     """Pairs ``a, b`` of different components in mixed buckets that may be similar.
 
     In buckets of up to ``SMALL_BUCKET`` members they are rows of a join. A larger
     bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is one
     task's group, so memory is bounded. There a pair becomes a row unless sizes or
-    odd sketches prove it too different, and only in the first band it shares: an
-    earlier bucket that both are in holds the same two components, so it is mixed too.
+    odd sketches prove it too different. ``docs`` is ``doc_id, text``; ``hashes``
+    gives a text's distinct shingle hashes.
     """
     few = rest.filter(F.col("size") <= SMALL_BUCKET)
     x, y = few.alias("x"), few.alias("y")
@@ -269,19 +272,18 @@ def pairs_across(rest: DataFrame, docs: DataFrame, classes: DataFrame, shingle:
 
     def sketches(batches):
         for batch in batches:
-            found = [odd_sketch(shingle_hashes(HASHES.of(t.lower().split()), shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [odd_sketch(hashes(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "sketch"])
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep", "left_semi").select("rep", "text")
     held = texts.mapInArrow(sketches, "rep long, sketch binary").dropDuplicates(["rep"])
-    held = materialize(held.join(classes.select("rep", "bands"), "rep"), "sketches")
+    held = materialize(held, "sketches")
     dealt = in_blocks(many)
 
     def compare(table):
         rep, component, block, size = (table.column(c).to_numpy() for c in ("rep", "component", "block", "n"))
-        band, apart = table.column("band")[0].as_py(), table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        apart = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         odd = OddSketches(table.column("sketch").to_pylist())
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)[:, :band]
         names, where, count = np.unique(component, return_inverse=True, return_counts=True)
         passive = where == count.argmax()  # of the largest component: compared only with the rest
         order = np.arange(len(rep))
@@ -294,7 +296,6 @@ def pairs_across(rest: DataFrame, docs: DataFrame, classes: DataFrame, shingle:
             j = np.flatnonzero(near)
             if len(j):
                 j = j[(100 + percent) * odd.least_difference(i, j) <= (100 - percent) * (size[j] + size[i])]
-                j = j[~(bands[j] == bands[i]).any(1)]
                 found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -316,8 +317,13 @@ def label_near(
     sets = feats.filter("doc_id is not null and n_shingles > 0")
     classes = sets.groupBy("words_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
     classes = materialize(classes.select("words_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    members = classes.select(F.posexplode("bands").alias("band", "bucket"), "rep", "n")
-    nodes = link_members(members, percent, lambda pairs: confirm(pairs, texts, shingle, percent), lambda rest: pairs_across(rest, texts, classes, shingle, percent))
+    members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    nodes = link_members(
+        members,
+        percent,
+        lambda pairs: confirm(pairs, texts, lambda t: shingle_set(t, shingle), percent),
+        lambda rest: pairs_across(rest, texts, lambda t: shingle_hashes(HASHES.of(t.lower().split()), shingle), percent),
+    )
 
     named = classes.select("words_digest", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("component", "rep").alias("component_id"))
     plain = feats.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

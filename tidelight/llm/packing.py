@@ -1,20 +1,24 @@
 """Packing of tokenised documents into fixed-length training sequences.
 
 Each document's ids (its tokens and one end id) are cut into pieces of at most
-``capacity`` ids. Pieces are dealt by a hash into randomised groups of about
-``group_pieces``; each group is packed on its own by first-fit decreasing, where
-a tournament tree over bin capacities finds the leftmost bin with room in
-logarithmic time. Only piece descriptions are shuffled, never texts or ids, and
-a group's size doesn't depend on any key of the data, so no group is hot.
+``capacity`` ids. Documents are dealt by a hash of their row into randomised groups
+of about ``group_pieces`` pieces; each group is packed on its own by first-fit
+decreasing, where a tournament tree over bin capacities finds the leftmost bin with
+room in logarithmic time. Only piece descriptions are shuffled, never texts or ids.
+Each row is dealt for itself, whatever its id or text, so copies of one row spread
+over all groups and no group is hot.
 
 Defined results: a null text counts as empty; an empty document is the end id
-alone, and so still takes one piece; repeated rows are packed once each; an
-empty table gives no pieces; other columns are ignored.
+alone, and so still takes one piece; the strings of the vocabulary's added tokens
+become their ids, as ``tokenizers`` does by default; a very long text is many pieces
+of its group, most of them full sequences of their own; repeated rows are packed
+once each; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import math
 import zlib
 
@@ -34,10 +38,13 @@ GROUP_STRIDE = 1 << 32
 
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str, pattern: str):
-    """The vocabulary of a byte-level ``tokenizer.json``; special tokens' strings are ordinary text."""
+    """The vocabulary of a byte-level ``tokenizer.json``, with its added tokens."""
     import tiktoken
 
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=read_json_ranks(path), special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    ranks = {piece: rank for piece, rank in read_json_ranks(path).items() if rank not in added.values()}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 class TournamentTree:
@@ -82,43 +89,50 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def cut_documents(
-    docs: DataFrame, path: str, pattern: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, end_id: int = 1, capacity: int = 2048, with_ids: bool = False, seed: int = 42, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Pieces of every document: where each starts, its length and the CRC of its ids; ``with_ids`` adds ``ids`` (binary)."""
+    """Pieces of every document: where each starts, its length and the CRC of its ids; ``with_ids`` adds ``ids`` (binary).
+
+    ``deal`` is a random number of the document's row, the same on all its pieces.
+    """
 
     def run(batches):
         enc = tokenizer(path, pattern)
         end = np.array([end_id], "<u4")
-        for doc_ids, texts in _texts(batches):
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(doc_ids.to_pylist(), texts, strict=True):
-                ids = np.concatenate([np.asarray(enc.encode_ordinary(text.as_py()), "<u4"), end])
-                for s in range(0, len(ids), capacity):
-                    piece = ids[s : s + capacity].tobytes()
-                    for column, value in zip(rows, (doc_id, s, len(piece) // 4, zlib.crc32(piece), len(ids), piece if with_ids else None), strict=True):
-                        column.append(value)
-            arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.binary())] * with_ids
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
-
-    return text_or_empty(docs, id_col, text_col).mapInArrow(run, PIECES + ", ids binary" * with_ids)
-
-
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 8192, seed: int = 42) -> DataFrame:
-    """Place each piece: adds ``sequence_id``, unique over all groups, and ``offset``.
-
-    The pieces are counted to set the number of groups, so they should be a
-    written table; see :func:`pack_documents`.
+        for batch in batches:
+            deals = batch.column(2).to_pylist()
+            for doc_ids, texts in _texts([batch]):
+                rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+                for doc_id, text in zip(doc_ids.to_pylist(), texts, strict=True):
+                    deal = deals.pop(0)
+                    ids = np.concatenate([np.asarray(enc.encode(text.as_py(), allowed_special="all"), "<u4"), end])
+                    for s in range(0, len(ids), capacity):
+                        piece = ids[s : s + capacity].tobytes()
+                        for column, value in zip(rows, (doc_id, s, len(piece) // 4, zlib.crc32(piece), len(ids), deal, piece if with_ids else None), strict=True):
+                            column.append(value)
+                arrays = [pa.array(c, pa.int64()) for c in rows[:6]] + [pa.array(rows[6], pa.binary())] * with_ids
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal", "ids"][: 6 + with_ids])
+
+    dealt = text_or_empty(docs, id_col, text_col).withColumn("deal", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)))
+    return dealt.mapInArrow(run, PIECES + ", deal long" + ", ids binary" * with_ids)
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 8192) -> DataFrame:
+    """Place each piece: adds ``sequence_id``, unique over all groups, and ``offset``, and drops ``deal``.
+
+    The pieces are counted to set the number of groups, and their deals must not
+    change, so they should be a written table; see :func:`pack_documents`.
     """
     groups = max(1, math.ceil(pieces.count() / group_pieces))
 
     def run(key, table):
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "length")])
+        table = table.sort_by([(c, "ascending") for c in ("deal", "doc_id", "start", "length")])
         bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), capacity)
-        table = table.drop_columns(["_group"])
+        table = table.drop_columns(["_group", "deal"])
         table = table.append_column("sequence_id", pa.array(bins + key[0].as_py() * GROUP_STRIDE))
         return table.append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("_group", F.pmod(F.col("deal"), F.lit(groups)).cast("long"))
     extra = ", ids binary" * ("ids" in pieces.columns)
     return dealt.groupBy("_group").applyInArrow(run, PIECES + extra + ", sequence_id long, offset long")
 
@@ -135,7 +149,7 @@ def pack_documents(
     text_col: str = "text",
 ) -> DataFrame:
     """Cut and pack all documents; one row for each piece."""
-    pieces = materialize(cut_documents(docs, path, pattern, end_id, capacity, with_ids, id_col, text_col), "pieces")
+    pieces = materialize(cut_documents(docs, path, pattern, end_id, capacity, with_ids, id_col=id_col, text_col=text_col), "pieces")
     return pack_pieces(pieces, capacity, group_pieces)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelight.llm import ann, bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, token_counts, toxicity
-from tidelight.llm.common import new_path
+from tidelight.llm.common import materialize, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +27,25 @@ def op3_exact_dedup(spark, sf_dir):
 
 
 def op4_token_counts(spark, sf_dir):
-    """Every document is inserted for two tokenizer versions, a batch each; the first batch is then sent again."""
+    """Every document is entered with an estimate for two tokenizer versions; real counts then take the estimates' place.
+
+    One version's estimates are revised, the other's deleted before its counts are
+    inserted; two batches are sent twice, and all are folded. Texts are tokenized once.
+    """
     docs, totals = table(spark, sf_dir, "documents"), token_counts.TokenTotals(spark, new_path(spark, "token-totals"))
-    versions = ("byte_bpe_50k", "byte_bpe_multi_50k")
-    batches = {v: token_counts.signed(token_counts.count_tokens(docs, {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN)}), 1) for v in versions}
-    for name, rows in batches.items():
-        totals.commit(name, rows)
-    totals.commit(versions[0], batches[versions[0]])
+    first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
+    counts = materialize(token_counts.count_tokens(docs, {v: (public_tokenizers.path(f"{v}.tiktoken"), public_tokenizers.PATTERN) for v in (first, second)}), "token-counts")
+    real = {v: counts.filter(F.col("tokenizer") == v) for v in (first, second)}
+    entered = {v: token_counts.estimated(real[v]) for v in real}
+    batches = {
+        "entered": token_counts.signed(token_counts.estimated(counts), 1),
+        "revised": token_counts.revised(entered[first], real[first]),
+        "deleted": token_counts.signed(entered[second], -1),
+        "inserted": token_counts.signed(real[second], 1),
+    }
+    for name in (*batches, "revised", "deleted"):
+        totals.commit(name, batches[name])
+    totals.compact("all")
     return totals.totals()
 
 
