@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelight.operators.asof import asof_join, range_join
+from tidelight.operators.folds import folded
 
 
 def cusum_flags(returns: list[float | None], h: float) -> list[int]:
@@ -25,25 +26,8 @@ def cusum_flags(returns: list[float | None], h: float) -> list[int]:
 
 
 def cusum_filter(df: DataFrame, group: str, order: list[str], ret: str, h: float) -> DataFrame:
-    """``df`` with ``flag`` by a fold over each group's ordered returns, kept in the JVM as a higher-order aggregate."""
-    w = Window.partitionBy(group).orderBy(*order)
-    numbered = df.withColumn("_rn", F.row_number().over(w))
-    path = F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(ret).alias("r")))), lambda x: x["r"])
-    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<int>").alias("flags"))
-
-    def step(acc, r):
-        up, down = F.greatest(F.lit(0.0), acc["up"] + r), F.least(F.lit(0.0), acc["down"] + r)
-        low, high = down < -h, up > h
-        moved = F.struct(
-            F.when(high & ~low, 0.0).otherwise(up).alias("up"),
-            F.when(low, 0.0).otherwise(down).alias("down"),
-            F.concat(acc["flags"], F.array(F.when(low, -1).when(high, 1).otherwise(0))).alias("flags"),
-        )
-        return F.when(r.isNull(), F.struct(acc["up"].alias("up"), acc["down"].alias("down"), F.concat(acc["flags"], F.array(F.lit(0))).alias("flags"))).otherwise(moved)
-
-    folded = numbered.groupBy(group).agg(F.aggregate(path, zero, step, lambda acc: acc["flags"]).alias("_flags"))
-    flags = folded.select(group, F.posexplode("_flags").alias("_pos", "flag")).withColumn("_rn", F.col("_pos") + 1).drop("_pos")
-    return numbered.join(flags, [group, "_rn"]).drop("_rn")
+    """``df`` with ``flag``: the fold of :func:`cusum_flags` over each group's ordered returns; a null return changes nothing."""
+    return folded(df, group, order, ret, "flag", "int", lambda r: cusum_flags(r, h))
 
 
 def vertical_barrier(events: DataFrame, path: DataFrame, group: str, t: str, path_t: str, horizon: int) -> DataFrame:
@@ -57,11 +41,12 @@ def triple_barrier(events: DataFrame, path: DataFrame, group: str, t: str, price
     """Events with ``touch`` (time), ``side`` (1, -1, 0 at the horizon) and ``ret``.
 
     The first path point within the horizon whose return leaves ``(-down, up)``
-    decides; the equi-join is on time buckets of the horizon's width.
+    decides; the equi-join is on time buckets of the horizon's width. From a price
+    of 0 no return is defined: the event runs to its horizon with a null ``ret``.
     """
     points = path.select(F.col(group), F.col(path_t).alias("_pt"), F.col(path_price).alias("_pp"))
     pairs = range_join(events, points, group, F.col(t) + 1, F.col(t) + horizon, "_pt", horizon)
-    r = F.col("_pp") / F.col(price) - 1
+    r = F.try_divide(F.col("_pp"), F.col(price)) - 1
     first = lambda cond: F.min(F.when(cond, F.struct("_pt", r.alias("r"))))
     keys = events.columns
     got = pairs.groupBy(*keys).agg(first(r >= up).alias("_u"), first(r <= -down).alias("_d"), F.max(F.struct("_pt", r.alias("r"))).alias("_l"))

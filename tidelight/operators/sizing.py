@@ -5,24 +5,23 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from tidelight.operators.folds import folded
 
 
 def ewma(df: DataFrame, group: str, order: list[str], value: str, half_life: float, name: str = "ewma") -> DataFrame:
-    """Exponentially weighted mean with the weights of all past rows, as one ordered fold in the JVM."""
+    """Exponentially weighted mean with the weights of all past rows, as one ordered fold of a bounded series."""
     keep = 0.5 ** (1 / half_life)
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    path = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(value).alias("v")))), lambda x: x["v"])
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.array().cast("array<double>").alias("out"))
 
-    def step(a, x):
-        s, t = a["s"] * keep + x, a["w"] * keep + 1
-        return F.struct(s.alias("s"), t.alias("w"), F.concat(a["out"], F.array(s / t)).alias("out"))
+    def means(x: list) -> list:
+        total, weight, out = 0.0, 0.0, []
+        for v in x:
+            total, weight = total * keep + v, weight * keep + 1
+            out.append(total / weight)
+        return out
 
-    folded = numbered.groupBy(group).agg(F.aggregate(path, zero, step, lambda a: a["out"]).alias("_o"))
-    flat = folded.select(group, F.posexplode("_o").alias("_p", name)).withColumn("_n", F.col("_p") + 1).drop("_p")
-    return numbered.join(flat, [group, "_n"]).drop("_n")
+    return folded(df, group, order, value, name, "double", means)
 
 
 def hold_to_expiry(size: np.ndarray, side: np.ndarray) -> np.ndarray:

@@ -87,7 +87,7 @@ def vertical_barrier(spark, sf):
     return labels.vertical_barrier(e, path(spark, sf).withColumnRenamed("ts", "pt"), "g", "ts", "pt", 86400).select("event_id", "t1")
 
 
-BARRIER = f"""{PATH}, c AS (SELECT event_id, g, ts, value FROM ev WHERE kind = 'click'), j AS (SELECT c.event_id, p.ts AS pt, p.value / c.value - 1 AS r FROM c JOIN p ON p.g = c.g AND p.ts > c.ts AND p.ts <= c.ts + 172800),
+BARRIER = f"""{PATH}, c AS (SELECT event_id, g, ts, value FROM ev WHERE kind = 'click'), j AS (SELECT c.event_id, p.ts AS pt, p.value / nullif(c.value, 0) - 1 AS r FROM c JOIN p ON p.g = c.g AND p.ts > c.ts AND p.ts <= c.ts + 172800),
     f AS (SELECT event_id, min(CASE WHEN r >= 0.5 THEN pt END) AS u, min(CASE WHEN r <= -0.5 THEN pt END) AS d, max(pt) AS l FROM j GROUP BY event_id),
     tb AS (SELECT f.event_id, CASE WHEN u < d OR (u IS NOT NULL AND d IS NULL) THEN u WHEN d < u OR (d IS NOT NULL AND u IS NULL) THEN d ELSE l END AS touch,
         CASE WHEN u < d OR (u IS NOT NULL AND d IS NULL) THEN 1 WHEN d < u OR (d IS NOT NULL AND u IS NULL) THEN -1 ELSE 0 END AS side FROM f), lab AS (SELECT tb.*, j.r AS ret FROM tb JOIN j ON j.event_id = tb.event_id AND j.pt = touch)"""
@@ -123,7 +123,7 @@ def fixed_horizon(spark, sf):
 
 @query(
     "cusum_events",
-    """WITH RECURSIVE r AS (SELECT user_id AS g, event_id, row_number() OVER w AS rn, ln(value / lag(value) OVER w) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    """WITH RECURSIVE r AS (SELECT user_id AS g, event_id, row_number() OVER w AS rn, coalesce(ln(nullif(value, 0) / nullif(lag(value) OVER w, 0)), 0) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
         s AS (SELECT g, event_id, rn, 0::DOUBLE AS up, 0::DOUBLE AS dn, 0 AS flag FROM r WHERE rn = 1
         UNION ALL SELECT r.g, r.event_id, r.rn, CASE WHEN greatest(0, up + r.r) > 1 AND NOT least(0, dn + r.r) < -1 THEN 0 ELSE greatest(0, up + r.r) END,
             CASE WHEN least(0, dn + r.r) < -1 THEN 0 ELSE least(0, dn + r.r) END, CASE WHEN least(0, dn + r.r) < -1 THEN -1 WHEN greatest(0, up + r.r) > 1 THEN 1 ELSE 0 END FROM s JOIN r ON r.g = s.g AND r.rn = s.rn + 1)
@@ -132,7 +132,7 @@ def fixed_horizon(spark, sf):
 def cusum_events(spark, sf):
     """Events where a user's cumulative log return passes 1 either way."""
     w = Window.partitionBy("g").orderBy("event_id")
-    e = events(spark, sf).withColumn("r", F.ln(F.col("value") / F.lag("value").over(w)))
+    e = events(spark, sf).withColumn("r", F.ln(F.try_divide(F.col("value"), F.lag("value").over(w))))
     return labels.cusum_filter(e, "g", ["event_id"], "r", 1.0).select("event_id", "flag")
 
 

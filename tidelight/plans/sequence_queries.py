@@ -100,7 +100,7 @@ def min_ffd(spark, sf):
     return sq.per_series(daily(spark, sf), "g", "day", "v", "d double, t double", grid)
 
 
-MONTH_SQL = "m AS (SELECT l_suppkey AS g, year(l_shipdate) * 12 + month(l_shipdate) AS t, sum(l_extendedprice) / sum(l_quantity) / 100 AS y FROM lineitem WHERE l_suppkey <= 30 GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) - 1 AS i FROM m)"
+MONTH_SQL = "m AS (SELECT l_suppkey AS g, year(l_shipdate) * 12 + month(l_shipdate) AS t, sum(l_extendedprice) / sum(l_quantity) / 100 AS y FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) - 1 AS i FROM m)"
 
 
 def monthly(spark, sf):
@@ -116,7 +116,7 @@ def monthly(spark, sf):
 )
 def csw_cusum(spark, sf):
     """CUSUM of levels against all earlier levels, as a share of its critical value."""
-    out = sq.per_series(monthly(spark, sf).filter("g <= 30"), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.csw_cusum(y).tolist()})
+    out = sq.per_series(monthly(spark, sf), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.csw_cusum(y).tolist()})
     return out.filter("i >= 2").select("g", "i", F.round("stat", 6).alias("stat"))
 
 
@@ -129,7 +129,7 @@ def csw_cusum(spark, sf):
 )
 def bsadf(spark, sf):
     """Backward supremum of Dickey-Fuller statistics."""
-    out = sq.per_series(monthly(spark, sf).filter("g <= 30"), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.bsadf(y).tolist()})
+    out = sq.per_series(monthly(spark, sf), "g", "t", "y", "i long, stat double", lambda y: {"i": list(range(len(y))), "stat": sq.bsadf(y).tolist()})
     return out.filter(~F.isnan("stat")).select("g", "i", F.round("stat", 5).alias("stat"))
 
 
@@ -177,12 +177,17 @@ def seq_bootstrap(spark, sf):
     return sq.per_series(s, "g", "id", "span", "place long, draws long", draw)
 
 
-@query("indicator_uniqueness", f"WITH {SPANS_SQL}, u AS (SELECT s.id, d FROM spans s, (SELECT unnest(range(8035, 9500, 30)) AS d) WHERE s.g = 1 AND d >= t0 AND d < t1), c AS (SELECT d, count(*) AS c FROM u GROUP BY d) SELECT id, round(avg(1.0 / c), 9) AS uniqueness, count(*) AS units FROM u JOIN c USING (d) GROUP BY id")
+INDICATOR = f"""WITH {SPANS_SQL}, u AS (SELECT g, id, unnest(generate_series(CAST(ceil(t0 / 30.0) AS BIGINT) * 30, t1 - 1, 30)) AS d FROM spans), c AS (SELECT g, d, count(*) AS c FROM u GROUP BY ALL)
+    SELECT id, round(avg(1.0 / c), 9) AS uniqueness, count(*) AS units FROM u JOIN c USING (g, d) GROUP BY g, id"""
+
+
+@query("indicator_uniqueness", INDICATOR)
 def indicator_uniqueness(spark, sf):
-    """Uniqueness from the sparse indicator matrix of one supplier's spans on a grid of days."""
-    s = spans(spark, sf).filter("g = 1").select("id", F.explode(F.expr("filter(sequence(8035, 9499, 30), d -> d >= t0 and d < t1)")).alias("d"))
-    c = s.groupBy("d").agg(F.count(F.lit(1)).alias("c"))
-    return s.join(c, "d").groupBy("id").agg(F.round(F.avg(1 / F.col("c")), 9).alias("uniqueness"), F.count(F.lit(1)).alias("units"))
+    """Uniqueness from the sparse indicator matrix of every supplier's spans, on a grid of every thirtieth day."""
+    days = F.expr("sequence(cast(ceil(t0 / 30) * 30 as bigint), cast(t1 - 1 as bigint), 30L)")
+    s = spans(spark, sf).filter("ceil(t0 / 30) * 30 <= t1 - 1").select("g", "id", F.explode_outer(days).alias("d"))
+    c = s.groupBy("g", "d").agg(F.count(F.lit(1)).alias("c"))
+    return s.join(c, ["g", "d"]).groupBy("g", "id").agg(F.round(F.avg(1 / F.col("c")), 9).alias("uniqueness"), F.count(F.lit(1)).alias("units")).drop("g")
 
 
 WANTED = ["and", "the", "of", "license"]
