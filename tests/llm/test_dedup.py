@@ -236,7 +236,7 @@ def test_substrings_of_ids_that_repeat(spark):
     d = spark.createDataFrame(made, "doc_id long, text string")
     n_two = len(two[:150].split())
     got = sorted(tuple(r)[:3] for r in substring_dedup.mark_repeats(d).collect())
-    assert got[:2] == [(1, 100, 0), (5, 50, 0)] and (5, 100, 100) in got and got.count((5, 50, 0)) == 2
+    assert (1, 100, 0) in got and (5, 100, 100) in got and got.count((5, 50, 0)) == 2
     assert (6, 100, n_two) in got and (5, n_two + 1, 0) in got
     left = substring_dedup.cut_repeats(d.withColumn("names", F.lit(1)))
     assert left.columns == ["doc_id", "text", "names"] and left.filter("text = ''").count() == 1
