@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelight.llm.common import materialize, release_shuffles, small_batches
-from tidelight.llm.near_dedup import confirm, link_members, pairs_across, probes
+from tidelight.llm.near_dedup import SOME, confirm, link_members, pairs_across, probes
 from tidelight.llm.words import U, mix
 
 BANDS, ROWS = 12, 3
@@ -100,15 +100,12 @@ def sure_keys(s: np.ndarray) -> np.ndarray:
     out, gap = [], False
     for zones in range((n + least) // 9 + 1, (n + most) // 9 + 2):
         zone = ((s >> U(40)) * U(zones) >> U(24)).astype(np.int64)
-        ends = np.searchsorted(zone, np.arange(zones + 1))
-        for k in range(zones):
-            key = U(zones * 64 + k + 1)
-            for x in s[ends[k] : ends[k + 1]]:
-                key = mix(key * ODD + x)
-            if ends[k + 1] > ends[k]:
-                out.append(key)
-            gap |= bool(ends[k + 1] == ends[k])
-    return np.array(out + [mix(x ^ U(0xD6E8FEB86659FD93)) for x in s[: n - least + 1]] * gap, U)
+        size = np.bincount(zone, minlength=zones)
+        sums = np.zeros(zones, U)
+        np.add.at(sums, zone, mix(s * ODD))  # a sum of mixed hashes names a zone's part of the set
+        out.append(mix(sums + U(64 * zones) + np.arange(1, zones + 1, dtype=U) * ODD)[size > 0])
+        gap |= bool((size == 0).any())
+    return np.concatenate([*out, mix(s[: n - least + 1] ^ U(0xD6E8FEB86659FD93))] if gap else out)
 
 
 def line_keys(lines: list[str], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -173,6 +170,7 @@ def mark_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str =
     texts = distinct_lines.select(F.col("rep").alias("doc_id"), F.col("line").alias("text"))
     nodes = link_members(
         band_keys(distinct_lines, size),
+        band_keys(distinct_lines.filter(F.pmod(F.xxhash64("rep"), F.lit(SOME)) == 0), size),
         percent,
         lambda pairs: confirm(pairs, texts, lambda x: full_set(x, size), percent),
         lambda rest: pairs_across(rest, texts, lambda x: set_hashes(x, size), percent),

@@ -39,11 +39,13 @@ from tidelight.llm.words import HASHES, U, mix, ngrams
 
 FEATURES = "doc_id long, n_shingles long, words_digest binary, bands array<long>"
 #: Requests for texts up to so many rows are broadcast (16 bytes each); beyond, the texts are shuffled to them.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 #: Members of a bucket whose remaining pairs may become rows: at most so many for each.
 SMALL_BUCKET = 16
 #: Members of a larger bucket that are compared in one group.
 BLOCK = 2048
+#: One set in so many tells which buckets are large.
+SOME = 64
 #: Members of a star that share a copy of their centre's text.
 STAR_ROWS = 512
 
@@ -162,16 +164,40 @@ def confirm(pairs: DataFrame, docs: DataFrame, full_set: Callable[[bytes], set],
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def link_members(members: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` of the members that are linked; ``members``: ``bucket, rep`` (an id of a distinct set) and ``n`` (its size).
+def shared_buckets(members: DataFrame, some: DataFrame) -> DataFrame:
+    """``bucket, rep, n, a`` of the members of buckets of two or more, ``a`` their smallest; one shuffle of ``members`` (``bucket, rep, n``).
+
+    ``some`` are the members of one set in ``SOME``. Buckets that it shows to be large
+    for a partition are dealt by salts too, and their salts' smallest combined; how
+    many such there are is bounded by the number of partitions. What is found doesn't
+    depend on the sample.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sampled = materialize(some.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "sample")
+    total = sampled.agg(F.sum("size")).first()[0] or 0
+    hot = sampled.filter(F.col("size") > max(4, total / (4 * parts))).select("bucket", F.lit(parts).alias("salts"))
+    hot = F.broadcast(hot)  # 4 * parts rows at most
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("salts"))).cast("int")
+    dealt = members.join(hot, "bucket", "left").select("bucket", "rep", "n", salt.alias("salt")).repartition("bucket", "salt")
+    groups = dealt.groupBy("bucket", "salt").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
+    whole = groups.join(hot, "bucket").groupBy("bucket").agg(F.min("a").alias("least"), F.max("z").alias("most"))
+    centres = groups.join(F.broadcast(whole), "bucket", "left")  # rows for hot buckets alone
+    centres = centres.select("bucket", "salt", F.coalesce("least", "a").alias("a"), F.coalesce("most", "z").alias("z")).filter("a < z").drop("z")
+    return materialize(dealt.join(centres, ["bucket", "salt"]).select("bucket", "rep", "n", "a"), "buckets")
+
+
+def link_members(
+    members: DataFrame, some: DataFrame, percent: int, confirmed: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``node, component`` of the members that are linked; ``members``: ``bucket, rep`` (an id of a distinct set) and ``n`` (its size); ``some``: see :func:`shared_buckets`.
 
     ``confirmed`` gives those of candidate pairs ``a, b`` that are similar. ``across``
     gets the buckets that hold several components after the stars (``bucket, rep, n,
     component`` and ``size``, the bucket's members) and gives the pairs across
-    components that may be similar, none left out. ``members`` is computed twice.
+    components that may be similar, none left out.
     """
-    centres = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").drop("z")
-    shared = materialize(members.join(centres, "bucket").select("bucket", "rep", "n", "a"), "buckets")
+    shared = shared_buckets(members, some)
     release_shuffles(members.sparkSession)
     shared = shared.join(shared.filter("rep = a").select("bucket", F.col("n").alias("a_n")), "bucket")
     star = shared.filter("rep <> a").filter(similar_sizes("n", "a_n", percent)).select("a", F.col("rep").alias("b")).distinct()
@@ -317,9 +343,10 @@ def label_near(
     sets = feats.filter("doc_id is not null and n_shingles > 0")
     classes = sets.groupBy("words_digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
     classes = materialize(classes.select("words_digest", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    members = lambda of: of.select(F.explode("bands").alias("bucket"), "rep", "n")
     nodes = link_members(
-        members,
+        members(classes),
+        members(classes.filter(F.pmod(F.xxhash64("rep"), F.lit(SOME)) == 0)),
         percent,
         lambda pairs: confirm(pairs, texts, lambda t: shingle_set(t, shingle), percent),
         lambda rest: pairs_across(rest, texts, lambda t: shingle_hashes(HASHES.of(t.lower().split()), shingle), percent),
