@@ -137,7 +137,7 @@ def implied_frequency(down: Column, up: Column, p: Column, theta: float) -> Colu
     return F.when(F.signum(mean) == F.signum(F.lit(theta)), n)
 
 
-def prob_z(sr: Column, n: Column, skew: Column, kurtosis: Column, benchmark: float = 0.0) -> Column:
+def prob_z(sr: Column, n: Column, skew: Column, kurtosis: Column, benchmark: Column | float = 0.0) -> Column:
     """How many standard errors a Sharpe ratio is above the benchmark."""
     return (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(1 - skew * sr + (kurtosis - 1) / 4 * sr * sr)
 

@@ -111,3 +111,24 @@ def runs(df: DataFrame, group: str, order: list[str], sign: str) -> DataFrame:
     marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.row_number().over(Window.partitionBy(group, "_island").orderBy(*order))
     return marked.withColumn("run", F.when(F.col(sign) == 0, 0).otherwise(n)).drop("_new", "_island")
+
+
+def power_mean(x: Column, p: Column, q: float) -> Column:
+    """Weighted power mean as an aggregate; the geometric mean at 0, the least and greatest at the infinities. Weights sum to 1."""
+    if q == float("-inf"):
+        return F.min(F.when(p > 0, x))
+    if q == float("inf"):
+        return F.max(F.when(p > 0, x))
+    if q == 0:
+        return F.exp(F.sum(F.when(p > 0, p * F.ln(x))))
+    return F.pow(F.sum(F.when(p > 0, p * F.pow(x, F.lit(float(q))))), F.lit(1.0 / q))
+
+
+def effective_number(p: Column, q: float) -> Column:
+    """How many equal shares are as diverse; at 1 the exponential of the entropy."""
+    return 1 / power_mean(p, p, q - 1)
+
+
+def entropy_concentration(p: Column) -> Column:
+    """0 for equal shares, near 1 for a single one."""
+    return 1 - F.exp(F.sum(F.when(p > 0, -p * F.ln(p)))) / F.count(p)
