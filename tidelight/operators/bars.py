@@ -9,7 +9,9 @@ bars themselves are again plain aggregation.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,34 @@ class Learning:
         return min(max(moved, self.length / self.clip), self.length * self.clip)
 
 
+def states(x: np.ndarray, start: float, rate: float, on: np.ndarray | None = None) -> np.ndarray:
+    """An exponential average before each value and after the last; where ``on`` is False a value passes it by."""
+    steps = zip(x.tolist(), (on if on is not None else np.ones(len(x), bool)).tolist(), strict=True)
+    return np.fromiter(accumulate(steps, lambda m, v: m + rate * (v[0] - m) if v[1] else m, initial=start), float, len(x) + 1)
+
+
+def closes(flow: list[np.ndarray], expected: Callable[[int, float], float], next_length: Callable[[float, int], float], length: float) -> np.ndarray:
+    """Bar numbers where a bar closes once any of the flows summed from its first trade is as large as expected there.
+
+    The sums come from prefix sums, searched in growing stretches; ``expected(first trade, length)``.
+    """
+    n = len(flow[0])
+    sums = [np.r_[0.0, np.cumsum(x)] for x in flow]
+    bars, bar, at = np.zeros(n, np.int64), 0, 0
+    while at < n:
+        limit, lo, width, end = expected(at, length), at, max(16, int(2 * length)), n
+        while lo < n:
+            hi = min(n, lo + width)
+            reached = np.max([np.abs(c[lo + 1 : hi + 1] - c[at]) for c in sums], axis=0) >= limit
+            if reached.any():
+                end = lo + int(reached.argmax()) + 1
+                break
+            lo, width = hi, 2 * width
+        bars[at:end] = bar
+        length, bar, at = next_length(length, end - at), bar + 1, end
+    return bars
+
+
 @dataclass(frozen=True)
 class Imbalance(Learning):
     """Close once the signed flow is as one-sided as expected of a bar, by averages frozen at its first trade."""
@@ -110,20 +140,11 @@ class Imbalance(Learning):
     sd: float = 1.0
 
     def assign(self, v: np.ndarray, b: np.ndarray, window: np.ndarray) -> np.ndarray:
-        bars, bar, n, theta, limit = np.zeros(len(v), np.int64), 0, 0, 0.0, 0.0
-        length, m, m2, rate = self.length, self.mean, self.sd**2 + self.mean**2, 2 / (10 * self.length + 1)
-        for i, x in enumerate(v * b):
-            if n == 0:
-                limit = self.scale * max(length * abs(m), math.sqrt(max(m2 - m * m, 0.0)) * math.sqrt(length))
-                theta = 0.0
-            bars[i] = bar
-            n += 1
-            theta += x
-            m += rate * (x - m)
-            m2 += rate * (x * x - m2)
-            if abs(theta) >= limit:
-                length, bar, n = self.next_length(length, n), bar + 1, 0
-        return bars
+        x, rate = v * b, 2 / (10 * self.length + 1)
+        mean, square = states(x, self.mean, rate), states(x * x, self.sd**2 + self.mean**2, rate)
+        spread = np.sqrt(np.maximum(square - mean * mean, 0.0))
+        expected = lambda at, length: self.scale * max(length * abs(mean[at]), spread[at] * math.sqrt(length))
+        return closes([x], expected, self.next_length, self.length)
 
 
 @dataclass(frozen=True)
@@ -136,27 +157,16 @@ class Run(Learning):
     v2: float = 1.0
 
     def assign(self, v: np.ndarray, b: np.ndarray, window: np.ndarray) -> np.ndarray:
-        bars, bar, n, buy, sell, limit = np.zeros(len(v), np.int64), 0, 0, 0.0, 0.0, 0.0
-        length, p, vb, vs, v2, rate = self.length, self.p_buy, self.v_buy, self.v_sell, self.v2, 2 / (10 * self.length + 1)
-        for i, x in enumerate(v):
-            if n == 0:
-                d = p * vb - (1 - p) * vs
-                spread = math.sqrt(max(v2 - d * d, 0.0))
-                limit = self.scale * (length * (p * vb + (1 - p) * vs) + expected_abs(length * d, math.sqrt(length) * spread)) / 2
-                buy = sell = 0.0
-            bars[i] = bar
-            n += 1
-            if b[i] > 0:
-                buy += x
-                vb += rate * (x - vb)
-            else:
-                sell += x
-                vs += rate * (x - vs)
-            p += rate * ((b[i] > 0) - p)
-            v2 += rate * (x * x - v2)
-            if max(buy, sell) >= limit:
-                length, bar, n = self.next_length(length, n), bar + 1, 0
-        return bars
+        rate, bought = 2 / (10 * self.length + 1), b > 0
+        share, square = states(bought.astype(float), self.p_buy, rate), states(v * v, self.v2, rate)
+        buys, sells = share * states(v, self.v_buy, rate, bought), (1 - share) * states(v, self.v_sell, rate, ~bought)
+        spread = np.sqrt(np.maximum(square - (buys - sells) ** 2, 0.0))
+
+        def expected(at: int, length: float) -> float:
+            gap = expected_abs(length * (buys[at] - sells[at]), math.sqrt(length) * spread[at])
+            return self.scale * (length * (buys[at] + sells[at]) + gap) / 2
+
+        return closes([np.where(bought, v, 0.0), np.where(bought, 0.0, v)], expected, self.next_length, self.length)
 
 
 def assign_bars(tape: DataFrame, group: str, order: list[str], rule: Size | Imbalance | Run, flow: Column, sign: str = "sign", window: str | None = None) -> DataFrame:

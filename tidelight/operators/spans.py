@@ -74,18 +74,22 @@ def purged_kfold(spans: DataFrame, group: str, order: list[str], n: int, embargo
 
 
 def purged_by_stretches(spans: DataFrame, group: str, day: str, n: int, embargo: int = 0) -> DataFrame:
-    """Every (row, test fold) with ``role``, by folds of whole days and purging against merged stretches of test spans."""
-    from tidelight.operators.asof import merge_spans
+    """Every (row, test fold) with ``role``, by folds of whole days and purging against merged stretches of test spans.
+
+    A fold's stretches are disjoint and in order, so of those that start before a row
+    ends the last reaches farthest: one as-of join finds it, and it alone decides.
+    """
+    from tidelight.operators.asof import asof_join, merge_spans
 
     days = spans.select(group, day).distinct().withColumn("fold", F.ntile(n).over(Window.partitionBy(group).orderBy(day)) - 1)
     rows = spans.join(days, [group, day])
     keyed = rows.withColumn("_k", F.struct(F.col(group).alias("g"), F.col("fold").alias("f")))
-    stretch = merge_spans(keyed.select("_k", "t0", "t1"), "_k").select(F.col("_k.g").alias(group), F.col("_k.f").alias("test_fold"), F.col("t0").alias("lo"), F.col("t1").alias("hi"))
-    hit = (F.col("t0") < F.col("hi")) & (F.col("t1") > F.col("lo")) | (F.col("t0") >= F.col("hi")) & (F.col("t0") < F.col("hi") + embargo)
-    touched = rows.join(stretch, group).filter(F.col("fold") != F.col("test_fold")).filter(hit).select(group, "id", "test_fold").distinct().withColumn("_hit", F.lit(True))
-    all_folds = rows.join(rows.select(group, F.col("fold").alias("test_fold")).distinct(), group)
-    role = F.when(F.col("fold") == F.col("test_fold"), "test").when(F.col("_hit"), "purged").otherwise("train")
-    return all_folds.join(touched, [group, "id", "test_fold"], "left").withColumn("role", role).drop("_hit")
+    stretch = merge_spans(keyed.select("_k", "t0", "t1"), "_k").select("_k", F.col("t0").alias("_lo"), F.col("t1").alias("_hi"))
+    pairs = rows.join(days.select(group, F.col("fold").alias("test_fold")).distinct(), group)
+    pairs = pairs.withColumn("_k", F.struct(F.col(group).alias("g"), F.col("test_fold").alias("f")))
+    met = asof_join(pairs, stretch, "_k", "t1", "_lo", ["_hi"], strict=True)
+    role = F.when(F.col("fold") == F.col("test_fold"), "test").when(F.col("_hi") + embargo > F.col("t0"), "purged").otherwise("train")
+    return met.withColumn("role", role).drop("_k", "_hi", "matched_time")
 
 
 def combinatorial_splits(n: int, k: int) -> list[tuple[int, tuple[int, ...]]]:

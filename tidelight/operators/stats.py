@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,37 @@ def effective_number(p: Column, q: float) -> Column:
 def entropy_concentration(p: Column) -> Column:
     """0 for equal shares, near 1 for a single one."""
     return 1 - F.exp(F.sum(F.when(p > 0, -p * F.ln(p)))) / F.count(p)
+
+
+def participation(df: DataFrame, series: str, t: str, x: str) -> DataFrame:
+    """``effective, mean_corr``: how many independent series are as diverse (n * n over the squared correlations), and their mean correlation.
+
+    A place in time where a series has no row counts as 0. Correlations of all pairs
+    come from the products of places in time, so the work grows with the series and not
+    with their pairs; places in time are bounded.
+    """
+    times = sorted(r[0] for r in df.select(t).distinct().collect())
+    place = {k: i for i, k in enumerate(times)}
+
+    def products(batches):
+        """Sums over this task's series: of products of places, of each place, and their number (at place -1)."""
+        total, gram, n = np.zeros(len(times)), np.zeros((len(times), len(times))), 0
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                v = np.zeros(len(times))
+                for point in row:
+                    v[place[point[t]]] += point[x]
+                v -= v.mean()
+                size = float(v @ v)
+                if size > 1e-18:
+                    v /= np.sqrt(size)  # of length 1: correlations are dot products
+                    total, gram, n = total + v, gram + np.outer(v, v), n + 1
+        i, j = np.indices(gram.shape).reshape(2, -1)
+        columns = [np.r_[i, np.arange(len(times)), -1], np.r_[j, np.full(len(times), -1), -1], np.r_[gram.ravel(), total, n]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], pa.float64())], ["i", "j", "v"])
+
+    rows = df.groupBy(series).agg(F.collect_list(F.struct(t, x)).alias("row")).select("row").mapInArrow(products, "i long, j long, v double")
+    sums = rows.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    square = F.col("v") * F.col("v")
+    one = sums.agg(F.sum(F.when(F.col("j") >= 0, square)).alias("gg"), F.sum(F.when((F.col("j") < 0) & (F.col("i") >= 0), square)).alias("ss"), F.max(F.when(F.col("i") < 0, F.col("v"))).alias("n"))
+    return one.select(F.try_divide(F.col("n") * F.col("n"), F.col("gg")).alias("effective"), F.try_divide(F.col("ss") - F.col("n"), F.col("n") * (F.col("n") - 1)).alias("mean_corr"))

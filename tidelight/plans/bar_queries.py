@@ -117,8 +117,9 @@ def bar_calibration(spark, sf):
 @query("bar_scale_fit")
 def bar_scale_fit(spark, sf):
     """The scale at which tick bars come to 25 a supplier."""
-    counts = trades(spark, sf).groupBy("g").count().select("count").agg(F.collect_list("count")).first()[0]
-    scale = bars.fit_scale(lambda s: sum(c // max(1, round(20 * s)) for c in counts) / max(1, len(counts)), 25.0)
+    sizes = trades(spark, sf).groupBy("g").count().groupBy("count").agg(F.count(F.lit(1)).alias("groups")).collect()  # a row for each length that occurs
+    total = max(1, sum(r["groups"] for r in sizes))
+    scale = bars.fit_scale(lambda s: sum(r["groups"] * (r["count"] // max(1, round(20 * s))) for r in sizes) / total, 25.0)
     return spark.createDataFrame([(round(scale, 6),)], "scale double")
 
 

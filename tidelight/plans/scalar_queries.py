@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidelight.functions import betting as bt
 from tidelight.functions import pricing as pr
+from tidelight.functions.distributions import norm_ppf, norm_ppf_sql
 from tidelight.functions.maths import expected_abs_normal, norm_cdf, norm_cdf_sql
 from tidelight.plans.registry import query
 from tidelight.sources.tables import EVENTS_SQL, events, read
@@ -149,19 +147,21 @@ def fair_greeks(spark, sf):
     )
 
 
-@query("implied_sigma")
-def implied_sigma(spark, sf):
-    """The volatility and the shift of the mean that a market price implies; both invert the normal distribution."""
+UNITS_SQL = "CASE WHEN 300 - t >= 60 THEN 300 - t - 60 + 61 * 121 / 360.0 WHEN 300 - t > 0 THEN (300 - t) * (301 - t) * (601 - 2 * t) / 21600.0 ELSE 0 END"
 
-    @F.pandas_udf("double")
-    def inverse(p: pd.Series) -> pd.Series:
-        inv = NormalDist().inv_cdf
-        return p.map(lambda x: inv(x) if 0 < x < 1 else None)
 
+@query(
+    "implied_sigma",
+    f"""WITH {EVENTS_SQL}, e AS (SELECT event_id, floor(us / 1000000)::BIGINT % 300 AS t, (value - 250) / 50000 AS m, k / 101.0::DOUBLE AS p FROM ev), x AS (SELECT *, {norm_ppf_sql("p")} AS z, {UNITS_SQL} AS u FROM e)
+        SELECT event_id, round(CASE WHEN z <> 0 AND sign(m) = sign(z) AND u > 0 AND (m / z) * (m / z) - 1e-8 >= 0 THEN sqrt((m / z) * (m / z) - 1e-8) / sqrt(u) END, 9) AS implied_sigma, round(z * sqrt(1e-8 * u + 1e-8) - m, 9) AS implied_mean_shift FROM x""",
+)
+def implied_sigma(spark, sf):
+    """The volatility and the shift of the mean that a market price implies; both invert the normal distribution."""
     t = F.floor(F.col("us") / 1000000) % 300
-    s = events(spark, sf).select("event_id", pr.variance_units(t).alias("u"), ((F.col("value") - 250) / 50000).alias("m"), (F.col("k") / 101).alias("p")).withColumn("z", inverse("p"))
+    s = events(spark, sf).select("event_id", pr.variance_units(t).alias("u"), ((F.col("value") - 250) / 50000).alias("m"), norm_ppf(F.col("k") / 101.0).alias("z"))
     z, m, u = F.col("z"), F.col("m"), F.col("u")
-    variance = (m / z) * (m / z) - 1e-8
+    ratio = F.try_divide(m, z)
+    variance = ratio * ratio - 1e-8
     ok = (z != 0) & (F.signum(m) == F.signum(z)) & (u > 0) & (variance >= 0)
     shift = z * F.sqrt(1e-8 * u + 1e-8) - m
     return s.select("event_id", F.round(F.when(ok, F.sqrt(F.when(ok, variance)) / F.sqrt(F.when(ok, u))), 9).alias("implied_sigma"), F.round(shift, 9).alias("implied_mean_shift"))

@@ -157,7 +157,9 @@ def hrp_weights(spark, sf):
     """Hierarchical risk parity over five order priorities; the covariance is computed in the cluster, a row for each pair."""
     d = daily(spark, sf)
     a, b = d.select("day", F.col("g").alias("a"), F.col("v").alias("x")), d.select("day", F.col("g").alias("b"), F.col("v").alias("y"))
-    cov = a.join(b, "day").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).orderBy("a", "b").collect()  # assets squared
+    if d.select("g").distinct().count() > 2048:
+        raise ValueError("a covariance of more than 2,048 assets doesn't fit one machine")
+    cov = a.join(b, "day").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).orderBy("a", "b").collect()  # assets squared, 2,048 at most
     names = sorted({r["a"] for r in cov})
     m = np.array([r["c"] for r in cov]).reshape(len(names), -1)
     w, iv = sq.hierarchical_risk_parity((m + m.T) / 2), sq.inverse_variance(m)

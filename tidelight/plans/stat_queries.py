@@ -275,14 +275,14 @@ COMBO_VALUES = ", ".join(f"({c}, {b}, {b in chosen})" for c, chosen in enumerate
 
 @query(
     "pbo_cscv",
-    f"""WITH {RET_SQL}, b AS (SELECT g, (day // 30) % {S} AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS n FROM ret WHERE g <= 20 GROUP BY ALL), c(combo, block, ins) AS (VALUES {COMBO_VALUES}),
+    f"""WITH {RET_SQL}, b AS (SELECT g, (day // 30) % {S} AS block, sum(r) AS s, sum(r * r) AS q, count(*) AS n FROM ret GROUP BY ALL), c(combo, block, ins) AS (VALUES {COMBO_VALUES}),
         h AS (SELECT combo, g, ins, sum(s) / sum(n) AS m, (sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1) AS v FROM b JOIN c USING (block) GROUP BY ALL), sr AS (SELECT combo, g, ins, CASE WHEN v > 0 THEN m / sqrt(v) ELSE 0 END AS sr FROM h),
         best AS (SELECT combo, arg_max(g, (sr, -g)) AS g FROM sr WHERE ins GROUP BY combo), rk AS (SELECT combo, g, rank() OVER (PARTITION BY combo ORDER BY sr) + (count(*) OVER (PARTITION BY combo, sr) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY combo) AS n FROM sr WHERE NOT ins)
         SELECT combo, g AS winner, round(ln((rk / (n + 1)) / (1 - rk / (n + 1))), 8) AS logit FROM best JOIN rk USING (combo, g)""",
 )
 def pbo_cscv(spark, sf):
     """Overfitting by symmetric cross-validation: the out-of-sample rank of each in-sample winner over all half splits."""
-    r = returns(spark, sf).filter("g <= 20")
+    r = returns(spark, sf)
     b = r.groupBy("g", (F.floor(F.col("day") / 30) % S).alias("block")).agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.count(F.lit(1)).alias("n"))
     c = F.broadcast(spark.createDataFrame([(i, k, k in chosen) for i, chosen in enumerate(COMBOS) for k in range(S)], "combo int, block long, ins boolean"))  # combinations times blocks
     h = b.join(c, "block").groupBy("combo", "g", "ins").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
@@ -296,15 +296,14 @@ def pbo_cscv(spark, sf):
 
 @query(
     "effective_trials",
-    f"""WITH {RET_SQL}, m AS (SELECT g, day // 30 AS mo, sum(r) AS r FROM ret WHERE g <= 12 GROUP BY ALL), c AS (SELECT a.g AS a, b.g AS b, corr(a.r, b.r) AS c FROM m a JOIN m b USING (mo) GROUP BY ALL)
-        SELECT round(12 * 12 / sum(c * c), 7) AS effective, round(avg(c) FILTER (a < b), 8) AS mean_corr FROM c""",
+    f"""WITH {RET_SQL}, m AS (SELECT g, day // 30 AS mo, sum(r) AS r FROM ret GROUP BY ALL), f AS (SELECT gs.g, ms.mo, coalesce(r, 0) AS r FROM (SELECT DISTINCT g FROM m) gs CROSS JOIN (SELECT DISTINCT mo FROM m) ms LEFT JOIN m ON m.g = gs.g AND m.mo = ms.mo),
+        s AS (SELECT g FROM f GROUP BY g HAVING stddev_pop(r) > 1e-9), c AS (SELECT a.g AS a, b.g AS b, corr(a.r, b.r) AS c FROM f a JOIN f b USING (mo) WHERE a.g IN (FROM s) AND b.g IN (FROM s) GROUP BY ALL)
+        SELECT round(sqrt(count(*)) * sqrt(count(*)) / sum(c * c), 7) AS effective, round(avg(c) FILTER (a < b), 8) AS mean_corr FROM c""",
 )
 def effective_trials(spark, sf):
-    """Participation ratio and mean correlation of twelve suppliers' monthly profits."""
-    m = returns(spark, sf).filter("g <= 12").groupBy("g", F.floor(F.col("day") / 30).alias("mo")).agg(F.sum("r").alias("r"))
-    a, b = m.select("mo", F.col("g").alias("a"), F.col("r").alias("x")), m.select("mo", F.col("g").alias("b"), F.col("r").alias("y"))
-    c = a.join(b, "mo").groupBy("a", "b").agg(stats.safe_corr(F.col("x"), F.col("y")).alias("c"))
-    return c.agg(F.round(144 / F.sum(F.col("c") * F.col("c")), 7).alias("effective"), F.round(F.avg(F.when(F.col("a") < F.col("b"), F.col("c"))), 8).alias("mean_corr"))
+    """Participation ratio and mean correlation of all suppliers' monthly profits; a month without trades earns nothing."""
+    m = returns(spark, sf).groupBy("g", F.floor(F.col("day") / 30).alias("t")).agg(F.sum("r").alias("r"))
+    return stats.participation(m, "g", "t", "r").select(F.round("effective", 7).alias("effective"), F.round("mean_corr", 8).alias("mean_corr"))
 
 
 @query(

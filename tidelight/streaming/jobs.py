@@ -8,12 +8,8 @@ a restart from the checkpoint gives the same table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelight.sources.shared import new_path
 
@@ -63,21 +59,11 @@ def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
 
 
 def book_levels(events: DataFrame) -> DataFrame:
-    """Latest size of each price level, by replacement deltas in event order; late deltas can't roll a level back."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, size, stale = state.get if state.exists else (-1, 0, 0)
-        for frame in frames:
-            for event_id, value in sorted(zip(frame["event_id"], frame["size"], strict=True)):
-                if event_id > last:
-                    last, size = event_id, value
-                else:
-                    stale += 1
-        state.update((int(last), int(size), int(stale)))
-        yield pd.DataFrame({"side": [key[0]], "tick": [key[1]], "event_id": [last], "size": [size], "late": [stale]})
+    """Latest size of each price level, by replacement deltas in event order; late deltas can't roll a level back.
 
+    The state is one row a level, so it is bounded by the ticks that occur.
+    """
     side = F.when(F.col("event_type").isin("purchase", "view"), "bid").otherwise("ask")
     tick = F.get_json_object("props", "$.k").cast("long")
     deltas = events.select(side.alias("side"), tick.alias("tick"), "event_id", F.floor("value").alias("size"))
-    schema = "side string, tick long, event_id long, size long, late long"
-    return deltas.groupBy("side", "tick").applyInPandasWithState(update, schema, "last long, size long, stale long", "update", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("side", "tick").agg(F.max("event_id").alias("event_id"), F.max_by("size", "event_id").alias("size"))
