@@ -19,14 +19,18 @@ def mean_slope(t: Column, lag: int = 0, lookback: int = LOOKBACK) -> Column:
     return F.least(F.greatest(_left(t, lag) / lookback, F.lit(0.0)), F.lit(1.0))
 
 
-def variance_units(t: Column, lag: int = 0, lookback: int = LOOKBACK) -> Column:
-    """Variance of the settling average per unit of a second's variance: the sum of squared slopes to come."""
-    tau, n = _left(t, lag), lookback
+def variance_of_left(tau: Column, n: int) -> Column:
+    """Variance of the settling average of ``n`` seconds, per unit of a second's variance, with ``tau`` seconds left: the sum of squared slopes to come."""
     before = tau - n + (n + 1) * (2 * n + 1) / (6 * n)
     inside = tau * (tau + 1) * (2 * tau + 1) / (6 * n**2)
     return F.when(tau >= n, before).when(tau > 0, inside).otherwise(0.0)
 
 
+def variance_units(t: Column, lag: int = 0, lookback: int = LOOKBACK) -> Column:
+    """The same at second ``t`` of a window."""
+    return variance_of_left(_left(t, lag), lookback)
+
+
 def drift_units(t: Column, lag: int = 0, lookback: int = LOOKBACK) -> Column:
     tau, n = _left(t, lag), lookback
     return F.when(tau >= n, tau - n + (n + 1) / 2).when(tau > 0, tau * (tau + 1) / (2 * n)).otherwise(0.0)
