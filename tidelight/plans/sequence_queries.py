@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidelight.functions.distributions import uniform, uniform_sql
 from tidelight.operators import sequences as sq
+from tidelight.operators.evaluation import resampled
 from tidelight.plans.registry import query
 from tidelight.sources.tables import EVENTS_SQL, SPANS_SQL, epoch, events, read, spans
 
@@ -133,13 +135,24 @@ def bsadf(spark, sf):
     return out.filter(~F.isnan("stat")).select("g", "i", F.round("stat", 5).alias("stat"))
 
 
-@query("chow_dfc")
+@query(
+    "chow_dfc",
+    f"""WITH {MONTH_SQL}, d AS (SELECT g, i, y AS x, lead(y) OVER (PARTITION BY g ORDER BY i) - y AS d FROM n), k AS (SELECT *, count(*) OVER (PARTITION BY g) AS m, sum(d * d) OVER (PARTITION BY g) AS dd, sum(x * x) OVER w AS sxx, sum(x * d) OVER w AS sxd FROM d WHERE d IS NOT NULL WINDOW w AS (PARTITION BY g ORDER BY i DESC ROWS UNBOUNDED PRECEDING))
+        SELECT g, round(max(sxd / sxx / sqrt(greatest(dd - sxd / sxx * sxd, 1e-300) / greatest(m - 1, 1) / sxx)), 7) AS sdfc FROM k WHERE i >= floor(m * 0.15) AND i < floor(m * 0.85) GROUP BY g""",
+)
 def chow_dfc(spark, sf):
     """Supremum of Chow-type Dickey-Fuller statistics of every supplier."""
-    return sq.per_series(monthly(spark, sf), "g", "t", "y", "sdfc double", lambda y: {"sdfc": [sq.chow(y)]})
+    return sq.per_series(monthly(spark, sf), "g", "t", "y", "sdfc double", lambda y: {"sdfc": [round(sq.chow(y), 7)]}).filter(~F.isnan("sdfc"))
 
 
-@query("holding_period")
+@query(
+    "holding_period",
+    f"""WITH RECURSIVE {EVENTS_SQL}, x AS (SELECT g, ts::DOUBLE AS t, sum(CASE kind WHEN 'purchase' THEN 1.0 WHEN 'click' THEN -1.0 ELSE 0 END) OVER w AS p, row_number() OVER w AS rn FROM ev WINDOW w AS (PARTITION BY g ORDER BY event_id)),
+        s AS (SELECT g, rn, p, 0::DOUBLE AS held, 0::DOUBLE AS weight, 0::DOUBLE AS entry FROM x WHERE rn = 1 UNION ALL SELECT x.g, x.rn, x.p,
+            held + CASE WHEN s.p * x.p < 0 THEN (x.t - entry) * abs(s.p) WHEN abs(x.p) < abs(s.p) THEN (x.t - entry) * (abs(s.p) - abs(x.p)) ELSE 0 END, weight + CASE WHEN s.p * x.p < 0 THEN abs(s.p) WHEN abs(x.p) < abs(s.p) THEN abs(s.p) - abs(x.p) ELSE 0 END,
+            CASE WHEN s.p * x.p < 0 THEN x.t WHEN abs(x.p) > abs(s.p) THEN (entry * abs(s.p) + x.t * (abs(x.p) - abs(s.p))) / abs(x.p) ELSE entry END FROM s JOIN x ON x.g = s.g AND x.rn = s.rn + 1)
+        SELECT g, round(arg_max(held / nullif(weight, 0), rn) / 86400, 6) AS days FROM s GROUP BY g""",
+)
 def holding_period(spark, sf):
     """Mean holding time of each account's units."""
     w = Window.partitionBy("g").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -149,7 +162,7 @@ def holding_period(spark, sf):
     def f(x):
         return {"days": [sq.holding_period(np.array([v["t"] for v in x]), np.array([v["p"] for v in x])) / 86400]}
 
-    return sq.per_series(both, "g", "event_id", "x", "days double", f)
+    return sq.per_series(both, "g", "event_id", "x", "days double", f).select("g", F.round(F.when(~F.isnan("days"), F.col("days")), 6).alias("days"))
 
 
 @query("hrp_weights")
@@ -248,22 +261,28 @@ def evenly_spaced(spark, sf):
     return r.filter(F.expr("i in (0, n div 4, n div 2, 3 * n div 4, n - 1)")).select("g", "i")
 
 
-@query("keyed_subsample")
+KEY = ("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("keyed_subsample", f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY {uniform_sql(*KEY)}, {', '.join(KEY)}, l_shipdate) AS rn FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM k WHERE rn <= 5")
 def keyed_subsample(spark, sf):
     """At most five rows of each supplier, chosen by a hash of their key."""
-    w = Window.partitionBy("l_suppkey").orderBy(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"))
+    w = Window.partitionBy("l_suppkey").orderBy(uniform(*KEY), *KEY, "l_shipdate")
     return read(spark, sf, "lineitem").withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
-@query("block_bootstrap_ci")
+@query(
+    "block_bootstrap_ci",
+    f"""WITH {EVENTS_SQL}, b AS (SELECT ts // 7200 AS block, sum(value) AS s, count(*) AS c, row_number() OVER (ORDER BY ts // 7200) - 1 AS i, count(*) OVER () AS n FROM ev GROUP BY ts // 7200), p AS (SELECT b, floor({uniform_sql("'k'", "0", "b", "i")} * n)::BIGINT AS i FROM b, range(200) t(b)),
+        d AS (SELECT p.b, sum(s) / sum(c) AS m FROM p JOIN b USING (i) GROUP BY p.b), o AS (SELECT sum(s) / sum(c) AS mean FROM b) SELECT round(quantile_cont(m, 0.025), 7) AS lo, round(quantile_cont(m, 0.975), 7) AS hi, round(any_value(mean), 7) AS mean, round((1 + count(*) FILTER (m - mean <= mean - 250)) / 201.0, 9) AS p FROM d, o""",
+)
 def block_bootstrap_ci(spark, sf):
-    """Interval of the mean value by resampling blocks of two hours; draws are hashed, so any executor makes the same."""
-    b = events(spark, sf).groupBy(F.floor(F.col("ts") / 7200).alias("block")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    draws = b.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    u = (F.pmod(F.xxhash64("block", "draw"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    k = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.struct(F.lit(0).alias("k"), F.exp(F.lit(-1.0)).alias("p"), F.exp(F.lit(-1.0)).alias("c")), lambda a, i: F.struct((a["k"] + F.when(u > a["c"], 1).otherwise(0)).alias("k"), (a["p"] / i).alias("p"), (a["c"] + a["p"] / i).alias("c")))["k"]
-    means = draws.withColumn("k", k).groupBy("draw").agg((F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * F.col("n"))).alias("m"))
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg("m").alias("mean"))
+    """Interval of the mean value by resampling blocks of two hours, and the share of centred means as low as its distance from 250."""
+    b = events(spark, sf).groupBy(F.floor(F.col("ts") / 7200).alias("block")).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c")).withColumn("all", F.lit(0))
+    d = resampled(b, "all", ["block"], ["s", "c"], 200, "k").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
+    d = d.crossJoin(F.broadcast(b.agg((F.sum("s") / F.sum("c")).alias("mean"))))  # one row
+    low = F.sum(F.when(F.col("m") - F.col("mean") <= F.col("mean") - 250, 1).otherwise(0))
+    return d.agg(F.round(F.percentile("m", 0.025), 7).alias("lo"), F.round(F.percentile("m", 0.975), 7).alias("hi"), F.round(F.first("mean"), 7).alias("mean"), F.round((1 + low) / 201, 9).alias("p"))
 
 
 @query("state_log_chain", "SELECT event_id, lag(sha256(concat(event_id, '|', event_type))) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_hash FROM events")
