@@ -91,9 +91,9 @@ def concentration(df: DataFrame, group: str, ret: str) -> DataFrame:
 
 
 def average_rank(x: Column, by: list[str]) -> Column:
-    """One-based rank within ``by``; ties share the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
+    """One-based rank within ``by``; ties share the mean of their places. One sort gives both parts."""
+    w = Window.partitionBy(*by).orderBy(x)
+    return F.rank().over(w) + (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow)) - 1) / 2
 
 
 def safe_corr(a: Column, b: Column) -> Column:

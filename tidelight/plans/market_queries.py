@@ -26,9 +26,9 @@ def panel(spark, sf):
 
 def signals(spark, sf):
     """Momentum over three quarters up to the last known one, and the next quarter's return; rows by calendar index, not offset."""
-    p = panel(spark, sf)
-    at = lambda k, name: p.select("asset", (F.col("idx") + k).alias("idx"), F.col("price").alias(name), F.col("available").alias(f"{name}_at"))
-    j = p.select("asset", "idx", "price").join(at(1, "a"), ["asset", "idx"]).join(at(4, "b"), ["asset", "idx"]).join(at(-1, "n"), ["asset", "idx"], "left")
+    w = Window.partitionBy("asset").orderBy("idx")
+    at = lambda k, c: F.max(c).over(w.rangeBetween(k, k))  # one row a quarter
+    j = panel(spark, sf).select("asset", "idx", "price", at(-1, "price").alias("a"), at(-1, "available").alias("a_at"), at(-4, "price").alias("b"), at(-4, "available").alias("b_at"), at(1, "price").alias("n"))
     known = j.filter((F.col("a_at") <= F.col("idx")) & (F.col("b_at") <= F.col("idx")))
     return known.select("asset", "idx", (F.col("a") / F.col("b") - 1).alias("mom"), (F.col("n") / F.col("price") - 1).alias("fwd"))
 
