@@ -182,3 +182,8 @@ def entropy_implied_sigma(h: Column) -> Column:
 
 def gaussian_mutual_information(rho: Column) -> Column:
     return -0.5 * F.ln(1 - rho * rho)
+
+
+def allocation_ramp(days: Column, full: float, initial: float) -> Column:
+    """Share of its weight that a strategy gets so many days after its start: ``initial``, rising as a square root to 1 at ``full``."""
+    return F.least(F.lit(1.0), initial + (1 - initial) * F.sqrt(F.greatest(days, F.lit(0.0)) / full))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelight.functions.maths import norm_cdf, norm_cdf_sql
+from tidelight.functions.maths import bound, norm_cdf, norm_cdf_sql
 
 # Coefficients of Acklam's rational approximation of the normal quantile.
 CENTRE_TOP = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
@@ -33,15 +33,19 @@ def _poly_sql(x: str, coefficients: tuple[float, ...]) -> str:
 
 def norm_ppf(p: Column) -> Column:
     """The normal quantile of a probability, by a rational approximation and one step of Halley's method; null outside (0, 1)."""
-    inside = F.when((p > 0) & (p < 1), p)
-    low = F.least(inside, 1 - inside)
-    q, r = low - 0.5, F.sqrt(-2 * F.ln(low))
-    centre = _poly(q * q, CENTRE_TOP) * q / _poly(q * q, CENTRE_BELOW)
-    about = F.when(low < TAIL, _poly(r, TAIL_TOP) / _poly(r, TAIL_BELOW)).otherwise(centre)
-    step = lambda s: s["x"] - s["u"] / (1 + s["x"] * s["u"] / 2)
-    first = F.transform(F.array(F.struct(about.alias("x"), low.alias("p"))), lambda s: F.struct(s["x"].alias("x"), ((norm_cdf(s["x"]) - s["p"]) * math.sqrt(2 * math.pi) * F.exp(s["x"] * s["x"] / 2)).alias("u")))
-    z = F.transform(first, step)[0]
-    return F.when(inside <= 0.5, z).otherwise(-z)
+    return bound(p, lambda x: F.when((x > 0) & (x < 1), F.when(x <= 0.5, bound(x, _lower_ppf)).otherwise(-bound(1 - x, _lower_ppf))))
+
+
+def _lower_ppf(low: Column) -> Column:
+    """The same for probabilities up to a half."""
+
+    def refined(x: Column) -> Column:
+        u = (norm_cdf(x) - low) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+        return bound(u, lambda e: x - e / (1 + x * e / 2))
+
+    tail = bound(F.sqrt(-2 * F.ln(low)), lambda r: _poly(r, TAIL_TOP) / _poly(r, TAIL_BELOW))
+    centre = bound(low - 0.5, lambda q: _poly(q * q, CENTRE_TOP) * q / _poly(q * q, CENTRE_BELOW))
+    return bound(F.when(low < TAIL, tail).otherwise(centre), refined)
 
 
 def norm_ppf_sql(p: str) -> str:
