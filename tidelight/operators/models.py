@@ -15,15 +15,16 @@ def log_loss(y: Column, p: Column) -> Column:
     return -(y * F.ln(q) + (1 - y) * F.ln(1 - q))
 
 
-def shuffled(df: DataFrame, column: str, key: list[str], seed: int) -> DataFrame:
-    """``df`` with one column permuted within its fold: values meet rows again by the rank of two different hashes."""
+def shuffled(df: DataFrame, column: str | list[str], key: list[str], seed: int) -> DataFrame:
+    """``df`` with one column, or several together, permuted within its fold: values meet rows again by the rank of two different hashes."""
+    columns = [column] if isinstance(column, str) else column
     a = df.withColumn("_i", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(*key, F.lit(seed)), *key)))
-    b = df.withColumn("_i", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(*key, F.lit(seed + 1)), *key))).select("fold", "_i", F.col(column).alias("_v"))
-    return a.join(b, ["fold", "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
+    b = df.withColumn("_i", F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(*key, F.lit(seed + 1)), *key))).select("fold", "_i", F.struct(*columns).alias("_v"))
+    return a.join(b, ["fold", "_i"]).withColumns({c: F.col(f"_v.{c}") for c in columns}).drop("_i", "_v")
 
 
-def cross_validate(rows: DataFrame, features: list[str], label: str, weight: str, roles: DataFrame, key: list[str], folds: int, permuted: list[str] | None = None) -> DataFrame:
-    """``fold, feature, loss``: weighted log loss of each held-out fold, and with each of ``permuted`` shuffled there.
+def cross_validate(rows: DataFrame, features: list[str], label: str, weight: str, roles: DataFrame, key: list[str], folds: int, permuted: list[str] | dict[str, list[str]] | None = None, penalty: float = 1e-4) -> DataFrame:
+    """``fold, feature, loss``: weighted log loss of each held-out fold, and with each of ``permuted`` (features, or named groups of them) shuffled there.
 
     ``roles``: ``key, test_fold, role`` from a purged splitter. The number of
     folds is a parameter; each fit is a distributed job.
@@ -32,10 +33,11 @@ def cross_validate(rows: DataFrame, features: list[str], label: str, weight: str
     out = None
     for fold in range(folds):
         part = rows.join(roles.filter(F.col("test_fold") == fold).select(*key, "role"), key)
-        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=20, regParam=1e-4).fit(assemble.transform(part.filter("role = 'train'")))
+        model = LogisticRegression(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=20, regParam=penalty).fit(assemble.transform(part.filter("role = 'train'")))
         held = part.filter("role = 'test'").withColumn("fold", F.lit(fold))
-        for feature in ["none", *(permuted or [])]:
-            test = held if feature == "none" else shuffled(held, feature, key, 17)
+        groups = permuted if isinstance(permuted, dict) else {f: [f] for f in permuted or []}
+        for feature in ["none", *groups]:
+            test = held if feature == "none" else shuffled(held, groups[feature], key, 17)
             p = vector_to_array(F.col("probability"))[1]
             scored = model.transform(assemble.transform(test)).agg((F.sum(F.col(weight) * log_loss(F.col(label), p)) / F.sum(weight)).alias("loss"))
             one = scored.select(F.lit(fold).alias("fold"), F.lit(feature).alias("feature"), "loss")
@@ -43,6 +45,56 @@ def cross_validate(rows: DataFrame, features: list[str], label: str, weight: str
     return out
 
 
+def single_features(rows: DataFrame, features: list[str], label: str, weight: str, roles: DataFrame, key: list[str], folds: int) -> DataFrame:
+    """``feature, loss``: the held-out loss of a model of each feature alone."""
+    out = None
+    for feature in features:
+        one = cross_validate(rows, [feature], label, weight, roles, key, folds).agg(F.avg("loss").alias("loss")).select(F.lit(feature).alias("feature"), "loss")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def purged_search(rows: DataFrame, features: list[str], label: str, weight: str, roles: DataFrame, key: list[str], folds: int, penalties: list[float]) -> DataFrame:
+    """``penalty, loss, best`` of each penalty in a grid, by the same purged folds; the least mean loss is best, of equal ones the greater penalty."""
+    out = None
+    for penalty in penalties:
+        one = cross_validate(rows, features, label, weight, roles, key, folds, penalty=penalty).agg(F.avg("loss").alias("loss")).select(F.lit(float(penalty)).alias("penalty"), "loss")
+        out = one if out is None else out.unionByName(one)
+    best = F.min_by("penalty", F.struct("loss", -F.col("penalty"))).over(Window.partitionBy(F.lit(0)))  # over the grid's rows alone
+    return out.select("penalty", "loss", (F.col("penalty") == best).alias("best"))
+
+
+def correlation_clusters(rows: DataFrame, features: list[str], most: int | None = None) -> dict[str, list[str]]:
+    """Features grouped by average linkage of the correlation distance, at the number of groups of the best mean silhouette.
+
+    Correlations are one aggregation; only their matrix reaches the driver.
+    """
+    k = len(features)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    row = rows.agg(*[F.corr(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    dist = np.zeros((k, k))
+    for i, j in pairs:
+        dist[i, j] = dist[j, i] = np.sqrt(max(0.0, (1 - (row[f"c{i}_{j}"] or 0.0)) / 2))
+    groups, best, score = [[i] for i in range(k)], [[i] for i in range(k)], -2.0
+    while len(groups) > 1:
+        if len(groups) <= (most or k - 1):
+            quality = np.mean([_silhouette(i, groups, dist) for i in range(k)])
+            if quality > score:
+                best, score = [list(g) for g in groups], quality
+        a, b = min(((x, y) for x in range(len(groups)) for y in range(x + 1, len(groups))), key=lambda p: dist[np.ix_(groups[p[0]], groups[p[1]])].mean())
+        groups[a] += groups.pop(b)
+    return {f"group{n}": [features[i] for i in sorted(g)] for n, g in enumerate(sorted(best, key=min))}
+
+
+def _silhouette(i: int, groups: list[list[int]], dist: np.ndarray) -> float:
+    own = next(g for g in groups if i in g)
+    if len(own) == 1:
+        return 0.0
+    within = dist[i, [j for j in own if j != i]].mean()
+    nearest = min(dist[i, g].mean() for g in groups if g is not own)
+    return float((nearest - within) / max(nearest, within)) if max(nearest, within) > 0 else 0.0
+
+
 def least_squares(df: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
     """Coefficients of a regression with intercept, from one pass of cross products; only those reach the driver."""
     cols = [F.lit(1.0), *map(F.col, xs), F.col(y)]

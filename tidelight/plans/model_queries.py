@@ -78,3 +78,20 @@ def martingale_tests(spark, sf):
     """Greatest quadratic trend statistic over all windows that end at each day of a series."""
     out = sq.per_series(daily(spark, sf), "g", "day", "v", "i long, smt double", lambda y: {"i": list(range(len(y))), "smt": sq.smt(y).tolist()})
     return out.filter(~F.isnan("smt"))
+
+
+FEATURES = ["x1", "x2", "noise"]
+
+
+@query("feature_search")
+def feature_search(spark, sf):
+    """Held-out losses over purged folds: of each feature alone, of each penalty of a small grid, and with correlated features permuted together."""
+    s, roles = labelled(spark, sf)
+    s = s.withColumn("x3", F.col("x1") + 0.1 * F.col("noise"))
+    key = ["g", "id"]
+    alone = models.single_features(s, FEATURES, "y", "w", roles, key, 3).select(F.lit("alone").alias("kind"), F.col("feature").alias("name"), "loss")
+    search = models.purged_search(s, FEATURES, "y", "w", roles, key, 3, [1e-4, 1.0]).select(F.when(F.col("best"), "best penalty").otherwise("penalty").alias("kind"), F.col("penalty").cast("string").alias("name"), "loss")
+    groups = models.correlation_clusters(s, [*FEATURES, "x3"], 3)
+    together = models.cross_validate(s, [*FEATURES, "x3"], "y", "w", roles, key, 3, groups).groupBy("feature").agg(F.avg("loss").alias("loss"))
+    together = together.select(F.lit("permuted").alias("kind"), F.col("feature").alias("name"), "loss")
+    return alone.unionByName(search).unionByName(together).select("kind", "name", F.round("loss", 6).alias("loss"))
