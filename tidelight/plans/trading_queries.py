@@ -12,7 +12,7 @@ from tidelight.operators import fair, montecarlo, portfolio, strategies
 from tidelight.operators import sequences as sq
 from tidelight.plans.evaluation_queries import rounded
 from tidelight.plans.registry import query
-from tidelight.plans.sequence_queries import daily
+from tidelight.plans.sequence_queries import daily, monthly
 from tidelight.plans.stat_queries import RET_SQL, returns
 from tidelight.sources.tables import EVENTS_SQL, events, read
 
@@ -178,15 +178,15 @@ def tape_features(spark, sf):
 
 
 def market_windows(spark, sf):
-    """Users' days as windows of 300 seconds: every event is a quote and, later, a print."""
+    """Users' days as windows of 300 seconds, a further one for every 40 events: each event is a quote and, later, a print."""
     e = events(spark, sf).withColumn("day", F.floor(F.col("ts") / 86400))
-    n = F.row_number().over(Window.partitionBy("g", "day").orderBy("event_id"))
-    e = e.withColumn("t", (n * 7).cast("int")).filter("t < 300")
+    n = F.row_number().over(Window.partitionBy("g", "day").orderBy("event_id")) - 1
+    e = e.withColumn("n", n).withColumn("window", F.col("day") * 1000 + F.floor(F.col("n") / 40)).withColumn("t", ((F.col("n") % 40 + 1) * 7).cast("int"))
     price = F.least(F.greatest(F.col("k") / 101.0, F.lit(0.03)), F.lit(0.97))
     quote = F.struct("t", (F.col("value") / 500).alias("fair"), F.lit(1e-4).alias("sigma"), (price + 0.01).alias("ask"), (price - 0.01).alias("bid"), F.lit(1.0).alias("ask_age"), F.lit(1.0).alias("bid_age"), ((F.col("k") - 50) / 50).alias("imb"), F.lit(1.0).alias("imb_age"))
     sold = F.when(F.col("kind").isin("purchase", "view"), 1).otherwise(-1)
     prints = F.struct((F.col("t") + 8.0).alias("ts"), sold.alias("sign"), price.alias("p_up"), (F.col("value") / 2).alias("shares"))
-    return e.groupBy("g", "day").agg(F.collect_list(quote).alias("quotes"), F.collect_list(prints).alias("prints"), (F.sum("k") % 2).cast("double").alias("y")).select("g", (F.col("day") * 300).alias("start"), "y", "quotes", "prints")
+    return e.groupBy("g", "window").agg(F.collect_list(quote).alias("quotes"), F.collect_list(prints).alias("prints"), (F.sum("k") % 2).cast("double").alias("y")).select("g", (F.col("window") * 300).alias("start"), "y", "quotes", "prints")
 
 
 STRATEGIES = {"prob_taker": strategies.ProbTaker(), "flow_taker": strategies.FlowTaker(), "fair_maker": strategies.FairMaker(every=1), "open_fair": strategies.OpenFairTaker(), "endgame_maker": strategies.EndgameMaker(first=5, sure=0.9)}
@@ -231,23 +231,21 @@ def break_critical_values(spark, sf):
 
 @query("wild_bootstrap_flags")
 def wild_bootstrap_flags(spark, sf):
-    """Each priority's explosiveness statistic over its last days, its own wild-bootstrap critical value, and whether it is passed."""
+    """Each supplier's explosiveness statistic, its own wild-bootstrap critical value, and whether it is passed."""
 
     def test(y):
-        y = y[-80:]
-        own = float(np.nanmax(sq.bsadf(y)))
-        sims = [float(np.nanmax(sq.bsadf(montecarlo.wild_walk(y, np.random.default_rng((1, d)))))) for d in range(99)]
-        critical = float(np.quantile(sims, 0.95))
+        greatest = lambda z: float(np.nanmax(t)) if np.isfinite(t := sq.bsadf(z)).any() else float("nan")
+        own, sims = greatest(y), [greatest(montecarlo.wild_walk(y, np.random.default_rng((1, d)))) for d in range(49)] if len(y) > 1 else [float("nan")]
+        known = [x for x in sims if np.isfinite(x)]
+        critical = float(np.quantile(known, 0.95)) if known else float("nan")
         return {"sadf": [own], "critical": [critical], "flag": [own > critical]}
 
-    return sq.per_series(daily(spark, sf), "g", "day", "v", "sadf double, critical double, flag boolean", test)
+    return sq.per_series(monthly(spark, sf), "g", "t", "y", "sadf double, critical double, flag boolean", test)
 
 
 @query("adf_quantiles")
 def adf_quantiles(spark, sf):
     """Quantile, spread and tail mean of the Dickey-Fuller statistics of all windows that end at each month of a supplier."""
-    from tidelight.plans.sequence_queries import monthly
-
     out = sq.per_series(monthly(spark, sf), "g", "t", "y", "i long, q double, spread double, tail double, tail_sd double", sq.adf_quantiles)
     return rounded(out, g=None, i=None, q=6, spread=6, tail=6, tail_sd=6)
 
