@@ -173,7 +173,7 @@ def mark_lines(docs: DataFrame, size: int = 8, percent: int = 80, id_col: str =
         band_keys(distinct_lines.filter(F.pmod(F.xxhash64("rep"), F.lit(SOME)) == 0), size),
         percent,
         lambda pairs: confirm(pairs, texts, lambda x: full_set(x, size), percent),
-        lambda rest: pairs_across(rest, texts, lambda x: set_hashes(x, size), percent),
+        lambda rest, k: pairs_across(rest, texts, lambda x: set_hashes(x, size), percent, k),
     )
     release_shuffles(docs.sparkSession)
     linked = nodes.join(distinct_lines.select(F.col("rep").alias("node"), "first"), "node")

@@ -44,6 +44,8 @@ BROADCAST_ROWS = 500_000
 SMALL_BUCKET = 16
 #: Members of a larger bucket that are compared in one group.
 BLOCK = 2048
+#: Likeliest pairs of a member with each other component that are compared, round by round; in the end all.
+ROUNDS = (1, None)
 #: One set in so many tells which buckets are large.
 SOME = 64
 #: Members of a star that share a copy of their centre's text.
@@ -165,7 +167,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, full_set: Callable[[bytes], set],
 
 
 def shared_buckets(members: DataFrame, some: DataFrame) -> DataFrame:
-    """``bucket, rep, n, a`` of the members of buckets of two or more, ``a`` their smallest; one shuffle of ``members`` (``bucket, rep, n``).
+    """``bucket, rep, n, a, a_n`` of the members of buckets of two or more, ``a`` their smallest and ``a_n`` its size; one shuffle of ``members`` (``bucket, rep, n``).
 
     ``some`` are the members of one set in ``SOME``. Buckets that it shows to be large
     for a partition are dealt by salts too, and their salts' smallest combined; how
@@ -180,11 +182,12 @@ def shared_buckets(members: DataFrame, some: DataFrame) -> DataFrame:
     hot = F.broadcast(hot)  # 4 * parts rows at most
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("salts"))).cast("int")
     dealt = members.join(hot, "bucket", "left").select("bucket", "rep", "n", salt.alias("salt")).repartition("bucket", "salt")
-    groups = dealt.groupBy("bucket", "salt").agg(F.min("rep").alias("a"), F.max("rep").alias("z"))
-    whole = groups.join(hot, "bucket").groupBy("bucket").agg(F.min("a").alias("least"), F.max("z").alias("most"))
+    # All columns are used here, so that the shuffle is the same as the join's below and is done once.
+    groups = dealt.groupBy("bucket", "salt").agg(F.min("rep").alias("a"), F.min_by("n", "rep").alias("a_n"), F.max("rep").alias("z"))
+    whole = groups.join(hot, "bucket").groupBy("bucket").agg(F.min("a").alias("least"), F.min_by("a_n", "a").alias("least_n"), F.max("z").alias("most"))
     centres = groups.join(F.broadcast(whole), "bucket", "left")  # rows for hot buckets alone
-    centres = centres.select("bucket", "salt", F.coalesce("least", "a").alias("a"), F.coalesce("most", "z").alias("z")).filter("a < z").drop("z")
-    return materialize(dealt.join(centres, ["bucket", "salt"]).select("bucket", "rep", "n", "a"), "buckets")
+    centres = centres.select("bucket", "salt", F.coalesce("least", "a").alias("a"), F.coalesce("least_n", "a_n").alias("a_n"), F.coalesce("most", "z").alias("z")).filter("a < z").drop("z")
+    return materialize(dealt.join(centres, ["bucket", "salt"]).select("bucket", "rep", "n", "a", "a_n"), "buckets")
 
 
 def link_members(
@@ -194,28 +197,32 @@ def link_members(
 
     ``confirmed`` gives those of candidate pairs ``a, b`` that are similar. ``across``
     gets the buckets that hold several components after the stars (``bucket, rep, n,
-    component`` and ``size``, the bucket's members) and gives the pairs across
-    components that may be similar, none left out.
+    component`` and ``size``, the bucket's members) and a number ``k``, and gives for each
+    member the ``k`` likeliest pairs with every other component, or for None all that
+    may be similar, none left out. Most members join a component by their likeliest
+    pair, so the rounds of ``ROUNDS`` keep pairs from growing with a family's square;
+    the last one takes all pairs that are left, so no link is lost.
     """
     shared = shared_buckets(members, some)
     release_shuffles(members.sparkSession)
-    shared = shared.join(shared.filter("rep = a").select("bucket", F.col("n").alias("a_n")), "bucket")
     star = shared.filter("rep <> a").filter(similar_sizes("n", "a_n", percent)).select("a", F.col("rep").alias("b")).distinct()
-    star = materialize(star, "stars")
-    links = materialize(confirmed(star), "confirmed")
+    tried = materialize(star, "stars")
+    links = materialize(confirmed(tried), "confirmed")
     nodes = connected_components(links)
-
-    # Buckets of several components: the pairs across them that no star has held.
-    labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    rest = materialize(labelled.join(mixed.select("bucket", "size"), "bucket"), "mixed")
-    if rest.isEmpty():
-        return nodes
-    cross = materialize(across(rest).distinct().join(star, ["a", "b"], "left_anti"), "cross")
-    if not cross.isEmpty():
+    for k in ROUNDS:
+        labelled = shared.join(nodes, shared["rep"] == nodes["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+        rest = materialize(labelled.join(mixed.select("bucket", "size"), "bucket"), "mixed")
+        if rest.isEmpty():
+            break
+        cross = materialize(across(rest, k).distinct().join(tried, ["a", "b"], "left_anti"), "cross")
+        if cross.isEmpty():
+            continue
         more = materialize(confirmed(cross), "confirmed")
+        tried = tried.unionByName(cross)
         if not more.isEmpty():
-            nodes = connected_components(links.unionByName(more))
+            links = links.unionByName(more)
+            nodes = connected_components(links)
     return nodes
 
 
@@ -275,14 +282,15 @@ class OddSketches:
         return out
 
 
-def pairs_across(rest: DataFrame, docs: DataFrame, hashes: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+def pairs_across(rest: DataFrame, docs: DataFrame, hashes: Callable[[bytes], np.ndarray], percent: int, k: int | None = None) -> DataFrame:
     """Pairs ``a, b`` of different components in mixed buckets that may be similar.
 
     In buckets of up to ``SMALL_BUCKET`` members they are rows of a join. A larger
     bucket is cut into blocks of ``BLOCK`` members and each pair of blocks is one
     task's group, so memory is bounded. There a pair becomes a row unless sizes or
-    odd sketches prove it too different. ``docs`` is ``doc_id, text``; ``hashes``
-    gives a text's distinct shingle hashes.
+    odd sketches prove it too different, of a member's pairs with a component the ``k``
+    of least difference (in each block). ``docs`` is ``doc_id, text``; ``hashes`` gives a
+    text's distinct shingle hashes.
     """
     few = rest.filter(F.col("size") <= SMALL_BUCKET)
     x, y = few.alias("x"), few.alias("y")
@@ -321,7 +329,13 @@ def pairs_across(rest: DataFrame, docs: DataFrame, hashes: Callable[[bytes], np.
                 near &= block != block[i]
             j = np.flatnonzero(near)
             if len(j):
-                j = j[(100 + percent) * odd.least_difference(i, j) <= (100 - percent) * (size[j] + size[i])]
+                least = odd.least_difference(i, j)
+                ok = (100 + percent) * least <= (100 - percent) * (size[j] + size[i])
+                j, least = j[ok], least[ok]
+                if k is not None and len(j):
+                    j = j[np.lexsort((rep[j], least, component[j]))]
+                    first = np.flatnonzero(np.r_[True, component[j][1:] != component[j][:-1]])
+                    j = j[np.arange(len(j)) - np.repeat(first, np.diff(np.r_[first, len(j)])) < k]
                 found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
         a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -349,7 +363,7 @@ def label_near(
         members(classes.filter(F.pmod(F.xxhash64("rep"), F.lit(SOME)) == 0)),
         percent,
         lambda pairs: confirm(pairs, texts, lambda t: shingle_set(t, shingle), percent),
-        lambda rest: pairs_across(rest, texts, lambda t: shingle_hashes(HASHES.of(t.lower().split()), shingle), percent),
+        lambda rest, k: pairs_across(rest, texts, lambda t: shingle_hashes(HASHES.of(t.lower().split()), shingle), percent, k),
     )
 
     named = classes.select("words_digest", "rep").join(nodes, F.col("rep") == F.col("node"), "left").select("words_digest", F.coalesce("component", "rep").alias("component_id"))
