@@ -157,7 +157,7 @@ def test_chow_takes_every_supplier(spark):
             ts.append(b / math.sqrt(((d - b * z) ** 2).sum() / (n - 1) / (z @ z)))
         want[g] = max(ts)
     got = {r["g"]: r["sdfc"] for r in sequence_queries.chow_dfc(spark, sf).collect()}
-    assert len(want) > 30 and got == pytest.approx(want, rel=1e-9)
+    assert len(want) > 30 and got == pytest.approx(want, abs=1e-7)  # the query rounds
 
 
 def test_importance_takes_every_supplier(spark, sf):
