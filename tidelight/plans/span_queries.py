@@ -50,7 +50,7 @@ def budget_size(spark, sf):
 def active_bet_average(spark, sf):
     """Mean size of the bets open when each one is made."""
     s = spans(spark, sf)
-    seg = sp.segments(s, "g", "size").select("g", F.col("lo").alias("t0"), F.round(F.col("v") / F.col("c"), 6).alias("active"))
+    seg = sp.segments(s, "g", "size").select("g", F.col("lo").alias("t0"), F.round(F.try_divide("v", "c"), 6).alias("active"))  # none are open after the last end
     return s.join(seg, ["g", "t0"]).select("g", "id", "active")
 
 
