@@ -16,6 +16,15 @@ def same_as_sql(spark, name, folder, digits=6):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def tables_with(sf, folder, **made):
+    """The smallest tables in ``folder``, some of them made by SQL."""
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        c.sql(f"copy ({made.get(t, f'select * from {t}')}) to '{folder}/{t}.parquet'")
+    return str(folder)
+
+
 def test_active_bets_without_broadcast(spark, sf):
     """The mean is taken before the join there, where the last segment of a group has no open bet."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -24,3 +33,9 @@ def test_active_bets_without_broadcast(spark, sf):
         same_as_sql(spark, "active_bet_average", sf)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hold_to_expiry_from_nothing(spark, sf, tmp_path):
+    """A user whose first value is zero stays flat in the SQL."""
+    rows = "(0, timestamp '2024-01-01', 1, 'view', 0.0, '{}'), (1, timestamp '2024-01-02', 1, 'view', 3.0, '{}'), (2, timestamp '2024-01-01', 2, 'view', 2.0, '{}'), (3, timestamp '2024-01-02', 2, 'view', 4.0, '{}')"
+    same_as_sql(spark, "hold_to_expiry", tables_with(sf, tmp_path, events=f"SELECT * REPLACE (event_id::BIGINT AS event_id, user_id::BIGINT AS user_id, value::DOUBLE AS value) FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)"))

@@ -24,9 +24,14 @@ def ewma(df: DataFrame, group: str, order: list[str], value: str, half_life: flo
     return folded(df, group, order, value, name, "double", means)
 
 
-def hold_to_expiry(size: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Stake added at each bet when the position only grows toward the running mean of signed sizes."""
+def hold_to_expiry(size: np.ndarray, side: np.ndarray, flat_grows: bool = True) -> np.ndarray:
+    """Stake added at each bet when the position only grows toward the running mean of signed sizes.
+
+    Without ``flat_grows`` a series whose first bet is nothing stays flat, as no target has that side.
+    """
     held, total, out = 0.0, 0.0, np.zeros(len(size))
+    if not flat_grows and len(size) and size[0] * np.sign(side[0]) == 0:
+        return out
     for i, x in enumerate(size * np.sign(side)):
         total += x
         target = total / (i + 1)
