@@ -12,11 +12,18 @@ from tidelight.functions.maths import bound, norm_cdf
 
 
 def summary(df: DataFrame, group: str, ret: str) -> DataFrame:
-    """n, mean, sd, Sharpe, skew, kurtosis (population), PSR, log growth, hit rate, CVaR and Jarque-Bera of each group."""
+    """n, mean, sd, Sharpe, skew, kurtosis (population), PSR, log growth, hit rate, CVaR and Jarque-Bera of each group.
+
+    The mean of decimal returns is that of their exact sum, in whatever order they come.
+    """
+    mean = F.avg(ret)
+    if df.schema[ret].dataType.typeName() == "decimal":
+        df = df.withColumn("_exact", F.col(ret)).withColumn(ret, F.col(ret).cast("double"))
+        mean = F.sum("_exact").cast("double") / F.count(ret)
     m = df.groupBy(group).agg(F.avg(ret).alias("_m"))
     d = F.col(ret) - F.col("_m")
     a = df.join(m, group).groupBy(group).agg(
-        F.count(ret).alias("n"), F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("sd"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"),
+        F.count(ret).alias("n"), mean.alias("mean"), F.stddev_samp(ret).alias("sd"), F.avg(d * d).alias("m2"), F.avg(d * d * d).alias("m3"), F.avg(d * d * d * d).alias("m4"),
         F.avg(F.ln(1 + F.col(ret))).alias("log_growth"), F.avg((F.col(ret) > 0).cast("double")).alias("hit_rate"),
     )
     skew, kurt, sharpe = F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))), F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")), F.when(F.col("sd") > 1e-12, F.col("mean") / F.col("sd"))

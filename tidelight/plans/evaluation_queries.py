@@ -14,7 +14,7 @@ from tidelight.operators import sequences as sq
 from tidelight.operators import stats
 from tidelight.plans.registry import query
 from tidelight.plans.sequence_queries import DAILY_SQL, daily
-from tidelight.plans.stat_queries import MOM_SQL, RET_SQL, returns
+from tidelight.plans.stat_queries import MOM_SQL, RET_SQL, exact_returns, returns
 from tidelight.sources.tables import EVENTS_SQL, events, read
 
 STAR = f"((1 - {ev.EULER_GAMMA}) * {norm_ppf_sql('(1 - 1 / trials)')} + {ev.EULER_GAMMA} * {norm_ppf_sql(f'(1 - 1 / (trials * {math.e}))')})"
@@ -58,7 +58,7 @@ def selection_dsr(spark, sf):
 )
 def windows_needed(spark, sf):
     """Days that a test of each supplier's Sharpe ratio would need."""
-    s = summary(spark, sf)
+    s = stats.summary(exact_returns(spark, sf), "g", "r")  # a small mean's noise is large here
     return s.select("g", F.round(ev.windows_needed(F.col("sharpe"), F.col("skew"), F.col("kurtosis")), 3).alias("needed"))
 
 

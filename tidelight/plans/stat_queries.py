@@ -22,6 +22,11 @@ def returns(spark, sf):
     return li.groupBy(F.col("l_suppkey").alias("g"), F.floor(epoch("l_shipdate") / 86400).alias("day")).agg((F.sum(F.round((F.col("l_tax") - 0.04) * 100) * F.col("l_quantity")) / 1000).alias("r"))
 
 
+def exact_returns(spark, sf):
+    """The same as decimals, whose sums are the same in any order."""
+    return returns(spark, sf).withColumn("r", F.col("r").cast("decimal(38,12)"))
+
+
 MOM_SQL = f"""{RET_SQL}, m AS (SELECT g, avg(r) AS m FROM ret GROUP BY g), k AS (SELECT g, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, avg((r - m) * (r - m)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4,
     avg(ln(1 + r)) AS log_growth, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS hit_rate FROM ret JOIN m USING (g) GROUP BY g), s AS (SELECT *, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) AS kurtosis, mean / sd AS sharpe FROM k),
     z AS (SELECT *, sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe) AS z FROM s)"""
