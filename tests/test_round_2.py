@@ -57,3 +57,9 @@ def test_windows_needed_without_edge(spark, sf, tmp_path):
     for order in ("day", "r", "abs(r)", "-r"):
         assert stats.summary(returns.orderBy(F.expr(order)).coalesce(1), "g", "r").first()["sharpe"] == 0
     assert QUERIES["windows_needed"](spark, folder).first()["needed"] is None
+
+
+def test_time_weighted_return_at_nothing(spark, sf, tmp_path):
+    """An account of three that loses three tenths ten times is lost, whatever it would gain later; sums of doubles leave a rest above zero."""
+    folder = tables_with(sf, tmp_path, lineitem=line_items(*[-3] * 10, 5))
+    assert QUERIES["time_weighted_return"](spark, folder).first()["twrr"] == -1

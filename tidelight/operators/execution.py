@@ -81,7 +81,8 @@ def report(results: DataFrame, group: str, order: list[str], bankroll: float, ru
 def time_weighted_return(df: DataFrame, group: str, order: list[str], pnl: str, bankroll: float, years: float) -> DataFrame:
     """``twrr``: the yearly growth of an account; -1 once it is lost.
 
-    Each period grows what the last left, so the product of growth is the last equity over the first.
+    Each period grows what the last left, so the product of growth is the last equity over the first. Profits given as
+    decimals are summed exactly, so that an account that comes to nothing is lost.
     """
     run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     e = df.withColumn("_equity", bankroll + F.sum(pnl).over(run))

@@ -13,7 +13,7 @@ from tidelight.operators import sequences as sq
 from tidelight.plans.evaluation_queries import rounded
 from tidelight.plans.registry import query
 from tidelight.plans.sequence_queries import daily, monthly
-from tidelight.plans.stat_queries import RET_SQL, returns
+from tidelight.plans.stat_queries import RET_SQL, exact_returns, returns
 from tidelight.sources.tables import EVENTS_SQL, events, read
 
 FILLS_SQL = """fl AS (SELECT l_orderkey AS w, CASE WHEN l_returnflag = 'R' THEN 'down' ELSE 'up' END AS side, l_quantity AS shares, 0.2 + 5 * l_discount AS price, l_quantity * l_tax / 50 AS fee, 0.19 + 5 * l_discount AS quote, 0.18 + 5 * l_discount + l_tax / 10 AS mid,
@@ -80,7 +80,7 @@ def execution_shortfall(spark, sf):
 @query("time_weighted_return", f"WITH {RET_SQL}, e AS (SELECT g, r, 3 + sum(r) OVER (PARTITION BY g ORDER BY day ROWS UNBOUNDED PRECEDING) AS eq FROM ret) SELECT g, round(CASE WHEN min(eq) <= 0 THEN -1 ELSE pow(greatest(1 + sum(r) / 3, 0), 1 / 7.0) - 1 END, 9) AS twrr FROM e GROUP BY g")
 def time_weighted_return(spark, sf):
     """Yearly growth of an account of three on each supplier's daily profit."""
-    return rounded(ex.time_weighted_return(returns(spark, sf), "g", ["day"], "r", 3.0, 7.0), g=None, twrr=9)
+    return rounded(ex.time_weighted_return(exact_returns(spark, sf), "g", ["day"], "r", 3.0, 7.0), g=None, twrr=9)
 
 
 @query(
