@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tests.test_queries import TABLES
-from tidelight.operators import stats
+from tidelight.operators import spans, stats
 from tidelight.plans import stat_queries
 from tidelight.plans.queries import ORACLE_SQL, QUERIES
 
@@ -63,3 +63,12 @@ def test_time_weighted_return_at_nothing(spark, sf, tmp_path):
     """An account of three that loses three tenths ten times is lost, whatever it would gain later; sums of doubles leave a rest above zero."""
     folder = tables_with(sf, tmp_path, lineitem=line_items(*[-3] * 10, 5))
     assert QUERIES["time_weighted_return"](spark, folder).first()["twrr"] == -1
+
+
+def test_indicator_uniqueness_makes_no_rows_for_units(spark, sf):
+    """Spans stay one row each, however long they are; repeated rows count twice."""
+    rows = [("g", "a", 0, 3_000_000), ("g", "b", 30, 61), ("g", "c", 31, 60), ("h", "a", -61, 1), ("h", "a", -61, 1)]
+    out = spans.grid_uniqueness(spark.createDataFrame(rows, "g string, id string, t0 long, t1 long"), "g", "id", 30)
+    assert "Generate explode(sequence" not in out._jdf.queryExecution().toString()
+    got = {(r["g"], r["id"]): (round(r["uniqueness"], 12), r["units"]) for r in out.collect()}
+    assert got == {("g", "a"): (round((99_998 + 2 * 0.5) / 100_000, 12), 100_000), ("g", "b"): (0.5, 2), ("h", "a"): (0.5, 6)}

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelight.sources.shared import materialize, release_shuffles
+
 
 def segments(spans: DataFrame, group: str, value: str | None = None) -> DataFrame:
     """Elementary segments of a group's time: ``lo, hi``, spans open there (``c``), the sum of their ``value``, and spans by side."""
@@ -27,6 +29,29 @@ def average_uniqueness(spans: DataFrame, group: str) -> DataFrame:
     return spans.join(a, [group, "t0"]).join(b, [group, "t1"]).withColumn("uniqueness", (F.col("_b") - F.col("_a")) / (F.col("t1") - F.col("t0"))).drop("_a", "_b")
 
 
+def grid_uniqueness(spans: DataFrame, group: str, key: str, step: int) -> DataFrame:
+    """``group, key, uniqueness, units``: the mean of 1 / concurrency over the multiples of ``step`` that a span holds, and how many; spans that hold none are left out.
+
+    Spans never become rows for each unit: concurrency is a running sum of their ends, one row
+    for each place of the grid where it changes, and goes to the spans as one list for each
+    group, which is bounded by the grid. Spans are written once and shuffled once, by group.
+    """
+    first, end = F.ceil(F.col("t0") / step), F.ceil(F.col("t1") / step)
+    held = materialize(spans.select(group, key, first.cast("long").alias("a"), end.cast("long").alias("b")).filter("a < b"), "grid_spans")
+    release_shuffles(held.sparkSession)
+    edges = held.select(group, F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("d")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    changes = edges.groupBy(group, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    run = changes.withColumn("c", F.sum("d").over(Window.partitionBy(group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    lists = run.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("_steps"))
+    # of each change but the last: how far it lasts, as a share of one unit for each open span
+    shares = F.transform(F.sequence(F.lit(1), F.size("_steps") - 1), lambda i: F.try_divide(F.get("_steps", i)["at"] - F.get("_steps", i - 1)["at"], F.get("_steps", i - 1)["c"]))
+    places = lists.select(group, F.transform("_steps", lambda x: x["at"]).alias("_at"), shares.alias("_share"))
+    lo, hi = F.array_position("_at", F.col("a")).cast("int"), F.array_position("_at", F.col("b")).cast("int")
+    total = F.aggregate(F.slice("_share", lo, hi - lo), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    met = held.join(places, group).select(group, key, total.alias("_sum"), (F.col("b") - F.col("a")).alias("_n"))
+    return met.groupBy(group, key).agg((F.sum("_sum") / F.sum("_n")).alias("uniqueness"), F.sum("_n").alias("units"))
+
+
 def return_attribution(spans: DataFrame, group: str, returns: DataFrame) -> DataFrame:
     """Spans with ``weight``: |sum of return / concurrency over the span|, scaled to sum to the number of spans.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelight.functions.distributions import uniform, uniform_sql
 from tidelight.operators import sequences as sq
+from tidelight.operators import spans as sp
 from tidelight.operators.evaluation import resampled
 from tidelight.plans.registry import query
 from tidelight.sources.tables import EVENTS_SQL, SPANS_SQL, epoch, events, read, spans
@@ -199,10 +200,7 @@ INDICATOR = f"""WITH {SPANS_SQL}, u AS (SELECT g, id, unnest(generate_series(CAS
 @query("indicator_uniqueness", INDICATOR)
 def indicator_uniqueness(spark, sf):
     """Uniqueness from the sparse indicator matrix of every supplier's spans, on a grid of every thirtieth day."""
-    days = F.expr("sequence(cast(ceil(t0 / 30) * 30 as bigint), cast(t1 - 1 as bigint), 30L)")
-    s = spans(spark, sf).filter("ceil(t0 / 30) * 30 <= t1 - 1").select("g", "id", F.explode_outer(days).alias("d"))
-    c = s.groupBy("g", "d").agg(F.count(F.lit(1)).alias("c"))
-    return s.join(c, ["g", "d"]).groupBy("g", "id").agg(F.round(F.avg(1 / F.col("c")), 9).alias("uniqueness"), F.count(F.lit(1)).alias("units")).drop("g")
+    return sp.grid_uniqueness(spans(spark, sf), "g", "id", 30).select("id", F.round("uniqueness", 9).alias("uniqueness"), "units")
 
 
 WANTED = ["and", "the", "of", "license"]
