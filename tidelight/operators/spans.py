@@ -98,6 +98,17 @@ def purged_kfold(spans: DataFrame, group: str, order: list[str], n: int, embargo
     return pairs.withColumn("role", role).drop("lo", "hi")
 
 
+def purged_sets(spans: DataFrame, group: str, order: list[str], n: int, embargo: int = 0) -> DataFrame:
+    """The roles of :func:`purged_kfold` as one row for each span: ``test`` (a list of its fold) and ``train`` (a bit for each fold), by one shuffle."""
+    rows = folds(spans, group, order, n)
+    every, train = Window.partitionBy(group), F.lit(0).cast("long")
+    for k in range(n):
+        lo, hi = F.min(F.when(F.col("fold") == k, F.col("t0"))).over(every), F.max(F.when(F.col("fold") == k, F.col("t1"))).over(every)
+        free = ~((F.col("t0") < hi) & (F.col("t1") > lo) | (F.col("t0") >= hi) & (F.col("t0") < hi + embargo))
+        train = train + F.when((F.col("fold") != k) & free, F.lit(1 << k)).otherwise(0)
+    return rows.withColumn("test", F.array(F.col("fold"))).withColumn("train", train).drop("fold")
+
+
 def purged_by_stretches(spans: DataFrame, group: str, day: str, n: int, embargo: int = 0) -> DataFrame:
     """Every (row, test fold) with ``role``, by folds of whole days and purging against merged stretches of test spans.
 

@@ -58,19 +58,20 @@ def har_fit(spark, sf):
     return spark.createDataFrame([(k, round(v, 9)) for k, v in beta.items()], "term string, beta double")
 
 
+FEATURES = ["x1", "x2", "noise"]
+
+
 def labelled(spark, sf):
-    """Every supplier's spans as labelled rows, and their roles; folds and purging are within a supplier."""
+    """Every supplier's spans as labelled rows with the folds they test and train; folds and purging are within a supplier."""
     s = spans(spark, sf).withColumn("x2", (F.col("t1") - F.col("t0")).cast("double")).withColumn("t1", F.col("t0") + 30).select("g", "id", "t0", "t1", F.col("size").alias("x1"), "x2", F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("noise"), (F.col("ret") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    roles = sp.purged_kfold(s.select("g", "id", "t0", "t1"), "g", ["t0", "id"], 3, 5).select("g", "id", "test_fold", "role")
-    return s.withColumn("x1", F.col("x1") + 3 * F.col("y")), roles
+    return sp.purged_sets(s, "g", ["t0", "id"], 3, 5).withColumn("x1", F.col("x1") + 3 * F.col("y"))
 
 
 @query("cv_importance")
 def cv_importance(spark, sf):
     """Held-out loss of a logistic regression over purged folds, and its rise when a feature is permuted."""
-    s, roles = labelled(spark, sf)
-    out = models.cross_validate(s, ["x1", "x2", "noise"], "y", "w", roles, ["g", "id"], 3, ["x1", "noise"])
-    return out.groupBy("feature").agg(F.round(F.avg("loss"), 6).alias("loss"))
+    data = models.prepared(labelled(spark, sf), FEATURES, "y", "w", ["g", "id"], 3)
+    return models.cross_validate(data, FEATURES, ["x1", "noise"]).groupBy("feature").agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
 @query("martingale_tests")
@@ -80,18 +81,19 @@ def martingale_tests(spark, sf):
     return out.filter(~F.isnan("smt"))
 
 
-FEATURES = ["x1", "x2", "noise"]
-
-
 @query("feature_search")
 def feature_search(spark, sf):
     """Held-out losses over purged folds: of each feature alone, of each penalty of a small grid, and with correlated features permuted together."""
-    s, roles = labelled(spark, sf)
-    s = s.withColumn("x3", F.col("x1") + 0.1 * F.col("noise"))
-    key = ["g", "id"]
-    alone = models.single_features(s, FEATURES, "y", "w", roles, key, 3).select(F.lit("alone").alias("kind"), F.col("feature").alias("name"), "loss")
-    search = models.purged_search(s, FEATURES, "y", "w", roles, key, 3, [1e-4, 1.0]).select(F.when(F.col("best"), "best penalty").otherwise("penalty").alias("kind"), F.col("penalty").cast("string").alias("name"), "loss")
-    groups = models.correlation_clusters(s, [*FEATURES, "x3"], 3)
-    together = models.cross_validate(s, [*FEATURES, "x3"], "y", "w", roles, key, 3, groups).groupBy("feature").agg(F.avg("loss").alias("loss"))
-    together = together.select(F.lit("permuted").alias("kind"), F.col("feature").alias("name"), "loss")
-    return alone.unionByName(search).unionByName(together).select("kind", "name", F.round("loss", 6).alias("loss"))
+    s = labelled(spark, sf).withColumn("x3", F.col("x1") + 0.1 * F.col("noise"))
+    data = models.prepared(s, [*FEATURES, "x3"], "y", "w", ["g", "id"], 3)
+    tried = [*[([f], 1e-4) for f in FEATURES], *[(FEATURES, penalty) for penalty in (1e-4, 1.0)]]
+    found = {r["model"]: r["loss"] for r in models.search(data, tried).collect()}
+    rows = [("alone", f, found[k]) for k, f in enumerate(FEATURES)]
+    grid = {tried[k][1]: found[k] for k in range(len(FEATURES), len(tried))}
+    best = min(grid, key=lambda penalty: (grid[penalty], -penalty))  # of equal ones the greater penalty
+    rows += [("best penalty" if penalty == best else "penalty", "1.0E-4" if penalty == 1e-4 else str(penalty), loss) for penalty, loss in grid.items()]
+    features = data.fit.select(*[F.col(f"f{k}").alias(f) for k, f in enumerate(data.features)])
+    groups = models.correlation_clusters(features, data.features, 3)
+    together = models.cross_validate(data, data.features, groups).groupBy("feature").agg(F.avg("loss").alias("loss"))
+    rows += [("permuted", r["feature"], r["loss"]) for r in together.collect()]
+    return spark.createDataFrame(rows, "kind string, name string, loss double").withColumn("loss", F.round("loss", 6))
