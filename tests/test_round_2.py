@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tests.test_queries import TABLES
+from tidelight.llm import html_text
 from tidelight.operators import models, spans, stats
 from tidelight.plans import stat_queries
 from tidelight.plans.queries import ORACLE_SQL, QUERIES
@@ -99,3 +100,13 @@ def test_importance_reads_the_tables_once(spark):
     assert abs(sum(w * (q - y) for q, (_, y, w) in zip(p, train, strict=True))) < 1e-6
     assert abs(sum(w * x * (q - y) for q, (x, y, w) in zip(p, train, strict=True))) < 1e-6
     assert losses[0, "none"] < losses[0, "x"] and losses[1, "none"] < losses[1, "x"]
+
+
+def test_partner_beyond_many_copies(spark):
+    """A page whose forty nearest pages on each side are its copies still meets its template's next page."""
+    menu, copy = "<div>shop menu</div>", "<div>the one long text that all of these copies have, word by word, and more of it</div>"
+    pages = [(k, f"http://h.example/a/{k:03d}", f"{menu}{copy}<div>{k}</div>") for k in range(81)]
+    pages += [(100 + k, f"http://h.example/b/{k}", f"{menu}<div>another text of its own, number {k}, that has no copy at all</div>") for k in range(3)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert not any("shop menu" in text for text in out.values())
+    assert all(out[k].endswith(f"\n{k}") for k in range(81))

@@ -10,11 +10,12 @@ neighbour repeats them, for they may quote one another.
 
 Of paths in order, the nearest are next to each other. So a host's distinct pages are
 sorted by a range shuffle, however many they are, and numbered; the order is cut into
-blocks of ``BLOCK_PAGES``, each with ``REACH`` pages of its neighbours on both sides, so
+blocks of ``BLOCK_PAGES``, each at first with ``REACH`` pages of its neighbours on both sides, so
 that a page finds the same partner wherever the cuts fall. Copies of a page (with all
 lines equal) are one page there, whose partner serves for all. A neighbour under the
 same path, or that shares more than ``COPY_SHARE`` of the page's unmarked text, is a
-copy too, and the search goes on past it, up to ``REACH`` pages on each side. Only
+copy too, and the search goes on past it. A page that would have to look farther than ``REACH`` pages on either side is put off,
+and such pages are searched again with a reach ``WIDER`` times as large, until none is left. Only
 hashes of lines are shuffled, and texts only of pages that lose lines.
 
 Defined results: null html is empty and gives an empty text; a null or odd URL has
@@ -40,6 +41,8 @@ from tidelight.llm.common import materialize, small_batches
 
 #: Pages of a block of the sorted order, and how many pages on each side are looked at.
 BLOCK_PAGES, REACH = 2048, 32
+#: How much farther pages look whose nearest pages are all copies.
+WIDER = 16
 #: Requests of up to so many rows are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: A partner that shares more of a page's text than this is its copy, not its template.
@@ -197,16 +200,29 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def candidates(hosts: list[str], paths: list[str], at: int):
-    """Pages of the host with another path, nearest first: longest common beginning, then place in order, the earlier first."""
+class OutOfReach(Exception):
+    """The next candidate lies beyond the pages at hand."""
+
+
+def candidates(hosts: list[str], paths: list[str], at: int, reach: int = REACH, first: bool = True, last: bool = True):
+    """Pages of the host with another path, nearest first: longest common beginning, then place in order, the earlier first.
+
+    Pages farther than ``reach`` on either side are not looked at: where one may be next, :class:`OutOfReach`
+    is raised. ``first`` and ``last`` tell whether the order begins and ends with the pages given.
+    """
+    low, high = max(0, at - reach), min(len(paths) - 1, at + reach)
     left, right = at - 1, at + 1
     while True:
-        while left >= max(0, at - REACH) and hosts[left] == hosts[at] and paths[left] == paths[at]:
+        while left >= low and hosts[left] == hosts[at] and paths[left] == paths[at]:
             left -= 1
-        while right <= min(len(paths) - 1, at + REACH) and hosts[right] == hosts[at] and paths[right] == paths[at]:
+        while right <= high and hosts[right] == hosts[at] and paths[right] == paths[at]:
             right += 1
-        has_left = left >= max(0, at - REACH) and hosts[left] == hosts[at]
-        has_right = right <= min(len(paths) - 1, at + REACH) and hosts[right] == hosts[at]
+        more_left = left < low and (hosts[low - 1] == hosts[at] if low else not first)
+        more_right = right > high and (hosts[high + 1] == hosts[at] if high + 1 < len(hosts) else not last)
+        if more_left or more_right:
+            raise OutOfReach
+        has_left = left >= low and hosts[left] == hosts[at]
+        has_right = right <= high and hosts[right] == hosts[at]
         if not has_left and not has_right:
             return
         if has_left and (not has_right or _prefix(paths[left], paths[at]) >= _prefix(paths[right], paths[at])):
@@ -229,7 +245,7 @@ def shared_lines(own: list[int], sizes: list[int], kinds: list[int], others) ->
 
 OUTLINE = "page_id long, url string, host string, path string, digest binary, hashes array<long>, sizes array<int>, kinds array<int>, lines array<string>"
 ORDERED = "at long, part int, host string, path string, digest binary, hashes array<long>, sizes array<int>, kinds array<int>"
-GONE = "host string, digest binary, gone array<int>"
+GONE = "host string, digest binary, gone array<int>, at long"
 
 
 def outlines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -258,7 +274,7 @@ def outlines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def in_order(distinct: DataFrame) -> DataFrame:
-    """The pages sorted by host and path and numbered without gaps (``at``), in blocks: ``block`` of each, and again in a neighbour's block where it is in its reach."""
+    """The pages sorted by host and path and numbered without gaps (``at``)."""
     sort = ["host", "path", "digest"]
 
     def number(batches):
@@ -274,9 +290,13 @@ def in_order(distinct: DataFrame) -> DataFrame:
         starts.append((part, before))
         before += n
     starts = distinct.sparkSession.createDataFrame(starts, "part int, before long")
-    placed = numbered.join(F.broadcast(starts), "part").withColumn("at", F.col("at") + F.col("before")).drop("part", "before")
-    near = F.array_distinct(F.transform(F.array(*[(F.col("at") + F.lit(d)).cast("long") for d in (0, -REACH, REACH)]), lambda x: F.floor(x / BLOCK_PAGES)))
-    return placed.withColumn("block", F.explode(near))
+    return numbered.join(F.broadcast(starts), "part").withColumn("at", F.col("at") + F.col("before")).drop("part", "before")
+
+
+def in_blocks(placed: DataFrame, reach: int) -> DataFrame:
+    """Pages in blocks: ``block`` of each, and again in the blocks of others that it is in reach of."""
+    block = lambda d: F.floor((F.col("at") + d) / BLOCK_PAGES)
+    return placed.withColumn("block", F.explode(F.sequence(block(-reach), block(reach))))
 
 
 def partner_losses(outlined: DataFrame) -> DataFrame:
@@ -284,23 +304,45 @@ def partner_losses(outlined: DataFrame) -> DataFrame:
     known = outlined.filter("host <> ''")
     distinct = known.groupBy("host", "digest").agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in ("hashes", "sizes", "kinds")])
 
-    def difference(key, table):
+    placed = in_order(distinct)
+    total = placed.count()
+
+    def difference(key, table, reach):
         table = table.sort_by([("at", "ascending")])
+        wanted = table.column("wanted").to_pylist()
         hosts, paths, hashes, sizes, kinds, digests = (table.column(c).to_pylist() for c in ("host", "path", "hashes", "sizes", "kinds", "digest"))
         block, places = key[0].as_py(), table.column("at").to_pylist()
-        out: tuple[list, ...] = ([], [], [])
+        first, last = places[0] == 0, places[-1] == total - 1
+        out: tuple[list, ...] = ([], [], [], [])
         for k, at in enumerate(places):
-            if at // BLOCK_PAGES != block:
+            if at // BLOCK_PAGES != block or not wanted[k]:
+                continue
+            try:
+                shared = set(shared_lines(hashes[k], sizes[k], kinds[k], (hashes[j] for j in candidates(hosts, paths, k, reach, first, last))))
+            except OutOfReach:
+                for column, value in zip(out, (hosts[k], digests[k], None, at), strict=True):
+                    column.append(value)
                 continue
-            shared = set(shared_lines(hashes[k], sizes[k], kinds[k], (hashes[j] for j in candidates(hosts, paths, k))))
             unmarked = [i for i, kind in enumerate(kinds[k]) if kind != MARKED]
             gone = [n for n, i in enumerate(unmarked) if i in shared and kinds[k][i] == OPEN]
             if gone:
-                for column, value in zip(out, (hosts[k], digests[k], gone), strict=True):
+                for column, value in zip(out, (hosts[k], digests[k], gone, at), strict=True):
                     column.append(value)
-        return pa.table({"host": pa.array(out[0], pa.string()), "digest": pa.array(out[1], pa.binary()), "gone": pa.array(out[2], pa.list_(pa.int32()))})
-
-    return in_order(distinct).groupBy("block").applyInArrow(difference, GONE)
+        return pa.table({"host": pa.array(out[0], pa.string()), "digest": pa.array(out[1], pa.binary()), "gone": pa.array(out[2], pa.list_(pa.int32())), "at": pa.array(out[3], pa.int64())})
+
+    def searched(blocks: DataFrame, reach: int) -> DataFrame:
+        return materialize(blocks.groupBy("block").applyInArrow(lambda key, table: difference(key, table, reach), GONE), "losses")
+
+    reach = REACH
+    found = searched(in_blocks(placed, reach).withColumn("wanted", F.lit(True)), reach)
+    losses = found.filter("gone is not null")
+    while not (late := found.filter("gone is null").select("at")).isEmpty():
+        reach = min(reach * WIDER, total)
+        blocks = late.select(F.floor(F.col("at") / BLOCK_PAGES).alias("block")).distinct()
+        marked = placed.join(late.withColumn("wanted", F.lit(True)), "at", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+        found = searched(in_blocks(marked, reach).join(blocks, "block", "left_semi"), reach)
+        losses = losses.unionByName(found.filter("gone is not null"))
+    return losses.drop("at")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
