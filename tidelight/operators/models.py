@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelight.sources.shared import materialize, release_shuffles
+from tidelight.sources.shared import drop_table, materialize, release_shuffles
 
 
 #: Rows are numbered within so many ranges of a hash, each sorted by itself.
@@ -60,6 +60,8 @@ def prepared(rows: DataFrame, features: list[str], label: str, weight: str, key:
         of = materialize(numbered(held.select("fold", "_b", *names), "fold", "_b", names).select("fold", "_i", *[F.col(n).alias(f"p{n}") for n in names]), "split_values")
         release_shuffles(base.sparkSession)
         held = materialize(to.join(of, ["fold", "_i"]).drop("_i"), "split_held")
+        drop_table(to)
+        drop_table(of)
         release_shuffles(base.sparkSession)
     return Splits(list(features), folds, base.drop("test", "_a", "_b"), held)
 
