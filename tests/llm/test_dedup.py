@@ -185,6 +185,22 @@ def test_line_families(spark, monkeypatch):
     assert line_dedup.drop_lines(d).columns == d.columns
 
 
+def test_lines_stay_in_the_jvm(spark, monkeypatch):
+    """Families of lines, also beyond the basic plane, are linked without a Python worker."""
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", refuse)
+    monkeypatch.setattr(type(spark.range(1).groupBy()), "applyInArrow", refuse)
+    r = random.Random(7)
+    base = [r.choice("abcdefgh \U0001f600\U0001f680é\r") for _ in range(160)]
+    made = [(k, "".join(base[: 100 + 5 * (k % 8)] + [r.choice("xyz") for _ in range(k // 8)])) for k in range(40)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    cols = ("doc_id", "line_no", "keep_doc_id", "keep_line_no", "kept")
+    assert rows(line_dedup.mark_lines(d), *cols) == brute.lines(made)
+    counts = {x["rep"]: x["n"] for x in line_dedup.band_keys(d.withColumnsRenamed({"doc_id": "rep", "text": "line"}), 8).collect()}
+    assert counts == {k: len({x[i : i + 8] for i in range(len(x) - 7)}) for k, x in made}
+
+
 def test_near_ids_that_repeat(spark):
     """Rows that repeat an id with other texts are compared by their own words; clashing names are carried."""
     words = [f"w{k}" for k in range(40)]
